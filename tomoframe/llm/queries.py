@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tomoframe.functions.columns import whole
 from tomoframe.llm.cutoff import Kept, keep_share
 from tomoframe.llm.encode import encoded
+from tomoframe.llm.mixing import mixed, shares
 from tomoframe.session import broadcast_if_small, table
 
 
@@ -31,7 +32,16 @@ def p6_ids(spark: SparkSession, folder: str) -> DataFrame:
     return encoded(table(spark, folder, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_cutoffs, p6_ids)}
+def p7_mix(spark: SparkSession, folder: str) -> DataFrame:
+    return mixed(table(spark, folder, "documents"), table(spark, folder, "mix_targets"))
+
+
+def p7_shares(spark: SparkSession, folder: str) -> DataFrame:
+    """The shares that were reached."""
+    return shares(table(spark, folder, "documents"), table(spark, folder, "mix_targets"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_cutoffs, p6_ids, p7_mix, p7_shares)}
 
 _CUTOFFS = """
 WITH r AS (
