@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tomoframe.functions.columns import whole
 from tomoframe.llm.cutoff import Kept, keep_share
 from tomoframe.llm.encode import encoded
+from tomoframe.llm.langid import languages, passages
 from tomoframe.llm.mixing import mixed, shares
 from tomoframe.session import broadcast_if_small, table
 
@@ -41,7 +42,21 @@ def p7_shares(spark: SparkSession, folder: str) -> DataFrame:
     return shares(table(spark, folder, "documents"), table(spark, folder, "mix_targets"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_cutoffs, p6_ids, p7_mix, p7_shares)}
+def p8_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Languages of passages, other than the one that the label names."""
+    other = F.col("declared").isNull() | (F.col("declared") != F.col("passage_lang"))
+    return passages(table(spark, folder, "documents")).where(other).select("doc_id", "passage_lang").distinct()
+
+
+def p8_passages(spark: SparkSession, folder: str) -> DataFrame:
+    return passages(table(spark, folder, "documents"))
+
+
+def p8_languages(spark: SparkSession, folder: str) -> DataFrame:
+    return languages(table(spark, folder, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_cutoffs, p6_ids, p7_mix, p7_shares, p8_found, p8_passages, p8_languages)}
 
 _CUTOFFS = """
 WITH r AS (
