@@ -60,6 +60,13 @@ def records(files: DataFrame) -> DataFrame:
     return current_files(files).select("content").mapInArrow(_records, "tag bigint, image_name string").distinct()
 
 
+def _summary(rows: DataFrame) -> tuple:
+    """How many rows there are, the sum of their hashes, and their size: strings by length, 8 bytes for the rest."""
+    size = sum((F.coalesce(F.length(F.col(f.name)), F.lit(0)) if f.dataType.simpleString() == "string" else F.lit(8)) for f in rows.schema.fields)
+    r = rows.agg(F.count(F.lit(1)), F.sum(F.xxhash64(*rows.columns).cast("decimal(38,0)")), F.sum(size)).first()
+    return r[0], r[1], r[2] or 0
+
+
 def compact(rows: DataFrame, keys: list[str], folder: str, target_bytes: int = TARGET_BYTES) -> DataFrame:
     """Writes `rows` sorted by `keys` into files of about `target_bytes` (uncompressed) in `folder` and returns them read back.
 
@@ -68,15 +75,13 @@ def compact(rows: DataFrame, keys: list[str], folder: str, target_bytes: int = T
     """
     spark: SparkSession = rows.sparkSession
     rows = written(rows, "records")
-    size = sum((F.length(F.col(f.name)) if f.dataType.simpleString() == "string" else F.lit(8)) for f in rows.schema.fields)
-    summary = [F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64(*rows.columns).cast("decimal(38,0)")).alias("hash")]
-    before = rows.agg(*summary, F.sum(F.coalesce(size, F.lit(0))).alias("bytes")).first()
-    n = max(1, -(-(before["bytes"] or 0) // target_bytes))
+    before = _summary(rows)
+    n = max(1, -(-before[2] // target_bytes))
     fresh, aside = f"{folder}.new", f"{folder}.old"
     rows.repartitionByRange(n, *keys).sortWithinPartitions(*keys).write.mode("overwrite").parquet(fresh)
-    after = spark.read.schema(rows.schema).parquet(fresh).agg(*summary).first()
-    if (before["n"], before["hash"]) != (after["n"], after["hash"]):
-        raise RuntimeError(f"{fresh} holds {after['n']} rows instead of {before['n']}; {folder} is unchanged")
+    after = _summary(spark.read.schema(rows.schema).parquet(fresh))
+    if before[:2] != after[:2]:
+        raise RuntimeError(f"{fresh} holds {after[0]} rows instead of {before[0]}, or others; {folder} is unchanged")
     fs, at = file_system(spark, folder)
     _, new = file_system(spark, fresh)
     _, old = file_system(spark, aside)
