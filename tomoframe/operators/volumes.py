@@ -103,37 +103,41 @@ def aligned(rows: DataFrame, references: dict[int, np.ndarray], search: v.Search
     schema = f"{kept}, ref bigint, tdrot double, tilt double, narot double, dx double, dy double, dz double, cc double, nz int, ny int, nx int, data binary, error string"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        refs, how, support_mask = shared.value
-        turns: dict[int, dict] = {r: {} for r in refs}
+        refs, how, real_mask = shared.value
+        known = lambda row, names: all(getattr(row, n) is not None and getattr(row, n) == getattr(row, n) for n in names)
+        order = sorted(refs)
         for pdf in batches:
-            out = []
+            out: list[tuple] = []
+            alike: dict[tuple, list] = {}  # rows that are searched together: shape, seed, wedge, references
             for row in pdf.itertuples(index=False):
-                values = [getattr(row, k) for k in keep]
                 try:
                     particle = box(row)
                 except (ValueError, TypeError) as e:
-                    out.append((*values, None, *[None] * 11, str(e)))
+                    out.append((*(getattr(row, k) for k in keep), *[None] * 12, str(e)))
                     continue
-                seed = tuple(float(getattr(row, s)) if getattr(row, s) == getattr(row, s) and getattr(row, s) is not None else 0.0 for s in seeds) if len(seeds) == 3 else (0.0, 0.0, 0.0)
-                support = None
-                if len(wedges) == 5 and all(getattr(row, w) is not None and getattr(row, w) == getattr(row, w) for w in wedges):
-                    support = v.wedge(particle.shape, int(row.ftype), *(float(getattr(row, w)) for w in wedges[1:]))
-                tried = sorted(refs)
-                if own_reference:
-                    tried = [min(max(int(row.ref) if row.ref == row.ref and row.ref is not None else tried[0], tried[0]), tried[-1])]
-                best = None
-                for r in tried:
-                    if refs[r].shape == particle.shape:
-                        pose = v.align(particle, refs[r], how, support_mask, seed, support, turns[r])
-                        if pose[6] == pose[6] and (best is None or pose[6] > best[1][6]):
-                            best = (r, pose)
-                if best is None:
-                    out.append((*values, None, *[None] * 11, "no reference of this shape"))
-                    continue
-                back = v.aligned_back(particle, best[1])
-                if support_mask is not None:
-                    back = back * support_mask
-                out.append((*values, best[0], *best[1], *particle.shape, back.astype("<f4").tobytes(), None))
+                seed = tuple(float(getattr(row, s)) for s in seeds) if len(seeds) == 3 and known(row, seeds) else (0.0, 0.0, 0.0)
+                lost = tuple(float(getattr(row, w)) for w in wedges) if len(wedges) == 5 and known(row, wedges) else None
+                own = min(max(int(row.ref) if known(row, ["ref"]) else order[0], order[0]), order[-1]) if own_reference and order else None
+                alike.setdefault((particle.shape, seed, lost, own), []).append((row, particle))
+            for (shape, seed, lost, own), rows_ in alike.items():
+                support = None if lost is None else v.wedge(shape, int(lost[0]), *lost[1:])
+                best: list[tuple | None] = [None] * len(rows_)
+                for r in order if own is None else [own]:
+                    if refs[r].shape != shape:
+                        continue
+                    step = max(1, v.BLOCK // refs[r].size)
+                    for k in range(0, len(rows_), step):
+                        for i, pose in enumerate(v.align_many([p for _, p in rows_[k : k + step]], refs[r], how, real_mask, seed, support), k):
+                            if pose[6] == pose[6] and (best[i] is None or pose[6] > best[i][1][6]):
+                                best[i] = (r, pose)
+                for (row, particle), b in zip(rows_, best):
+                    values = [getattr(row, k) for k in keep]
+                    if b is None:
+                        out.append((*values, *[None] * 12, "no reference of this shape"))
+                        continue
+                    back = v.aligned_back(particle, b[1])
+                    back = back if real_mask is None else back * real_mask
+                    out.append((*values, b[0], *b[1], *shape, back.astype("<f4").tobytes(), None))
             yield pd.DataFrame(out, columns=out_names)
 
     # A search takes far longer than its bytes suggest, so rows are spread over all cores however small they are.
