@@ -69,3 +69,10 @@ def written(df: DataFrame, name: str) -> DataFrame:
 def broadcast_if_small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
     """A broadcast hint for `df` if a count proves that it has at most `most` rows, else `df` as it is."""
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """`df` in at least as many partitions as there are cores, before work that takes far longer than its bytes suggest;
+    unchanged, without a shuffle, where the scan already gives that many."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
