@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tomoframe.llm.mailtext import sentences
+from tomoframe.session import spread
 
 # The languages with the codes and English names they go by, and Cyrillic letters in Latin.
 LANGUAGES = "en de fr es it pt nl sv pl ru ja".split()
@@ -35,8 +36,8 @@ CYRILLIC = dict(zip("абвгдеёжзийклмнопрстуфхцчшщъы
 PLAIN = {"ß": "ss", "ł": "l", "ø": "o", "æ": "ae", "œ": "oe", "đ": "d", "ı": "i", "þ": "th"}
 
 #: Labelled documents per language in the training sample, sentences per language, and texts longer than this aren't drawn.
-SAMPLE, SENTENCES, LONGEST = 400, 1200, 20_000
-BUCKETS, DIMENSION, EPOCHS, RATE, BATCH = 1 << 16, 16, 5, 1.2, 64
+SAMPLE, SENTENCES, LONGEST = 400, 800, 20_000
+BUCKETS, DIMENSION, EPOCHS, RATE, BATCH = 1 << 16, 16, 4, 1.2, 64
 #: Share of held-out pieces that must be right among those with at least the threshold's confidence.
 PRECISION = 0.998
 NONE = "und"
@@ -344,7 +345,7 @@ def passages(documents: DataFrame, shortest: int = 2, per_language: int = SAMPLE
     documents: doc_id BIGINT, text, lang. Null, empty and blank texts have no passages. Rows with equal ids are judged each.
     """
     model = fitted(documents, per_language)
-    return documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), declared(F.col("lang")).alias("declared"), "text").mapInArrow(
+    return spread(documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), declared(F.col("lang")).alias("declared"), "text")).mapInArrow(
         _passages(model, shortest), "doc_id bigint, declared string, first_sentence int, n_sentences int, passage_lang string, confidence double"
     )
 
@@ -352,4 +353,4 @@ def passages(documents: DataFrame, shortest: int = 2, per_language: int = SAMPLE
 def languages(documents: DataFrame, per_language: int = SAMPLE) -> DataFrame:
     """doc_id, declared, language (that of most of its text; 'und' if no sentence has one) and confidence of every document."""
     model = fitted(documents, per_language)
-    return documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), declared(F.col("lang")).alias("declared"), "text").mapInArrow(_whole(model), "doc_id bigint, declared string, language string, confidence double")
+    return spread(documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), declared(F.col("lang")).alias("declared"), "text")).mapInArrow(_whole(model), "doc_id bigint, declared string, language string, confidence double")
