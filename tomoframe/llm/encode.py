@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from tomoframe.llm import tokenizers
 from tomoframe.llm.chunks import chunk_starts
+from tomoframe.session import spread
 
 MEAN_BYTES, MOST_BYTES = 128, 8192
 #: Texts are cut in slices of about so many bytes; a chunk in more than one of SHARE texts of a slice counts as hot.
@@ -202,7 +203,7 @@ def encoded(documents: DataFrame, tokenizer: str = "byte_bpe_50k", folder: str =
     two are not looked at. An empty table gives an empty one.
     """
     texts = documents.select(F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    chunks = texts.mapInArrow(_chunked(mean, most), _CHUNKS_DDL).withColumn("hash", F.xxhash64("chunk"))
+    chunks = spread(texts).mapInArrow(_chunked(mean, most), _CHUNKS_DDL).withColumn("hash", F.xxhash64("chunk"))
     met = chunks.repartition("hash", "salt").sortWithinPartitions("hash", "chunk").drop("hash", "salt")
     placed = met.mapInArrow(_encoded(tokenizer, folder), _PLACED_DDL)
     return placed.repartition("rid").sortWithinPartitions("rid", "seq").mapInArrow(_assembled(tokenizer, folder), "doc_id bigint, ids array<int>")

@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tomoframe.llm import tokenizers
+from tomoframe.session import spread
 
 BINS = 2048
 #: More sources than this in the target table are refused, since their sums go to the driver.
@@ -73,7 +74,7 @@ def rates(documents: DataFrame, targets: DataFrame, seed: int, total_tokens: flo
     if len(asked) > MOST_SOURCES:
         raise ValueError(f"more than {MOST_SOURCES} sources")
     rows = documents.where(F.col("source").isin([a.source for a in asked])).select("source", F.floor(number_of(seed) * BINS).cast("int").alias("bin"), "text")
-    sums = rows.mapInArrow(_counted(tokenizer, folder), "source string, bin int, n_tokens bigint").groupBy("source", "bin").agg(F.sum("n_tokens").alias("t"), F.count(F.lit(1)).alias("n")).collect()
+    sums = spread(rows).mapInArrow(_counted(tokenizer, folder), "source string, bin int, n_tokens bigint").groupBy("source", "bin").agg(F.sum("n_tokens").alias("t"), F.count(F.lit(1)).alias("n")).collect()
     bins = {a.source: np.zeros(BINS) for a in asked}
     docs = dict.fromkeys(bins, 0)
     for r in sums:
@@ -132,7 +133,7 @@ def shares(documents: DataFrame, targets: DataFrame, seed: int = 17, total_token
     document), mixed_tokens and actual_share of `mixed`, counted over the rows that are drawn."""
     found = rates(documents, targets, seed, total_tokens, tokenizer, folder)
     drawn = _copies(documents.select("doc_id", "source", "text"), found, seed).select("source", F.col("count").alias("bin"), "text")
-    sizes = drawn.mapInArrow(_counted(tokenizer, folder), "source string, bin int, n_tokens bigint")
+    sizes = spread(drawn).mapInArrow(_counted(tokenizer, folder), "source string, bin int, n_tokens bigint")
     per_source = sizes.groupBy("source").agg(F.sum("bin").alias("n_copies"), F.max("bin").alias("most_copies"), F.sum(F.col("n_tokens") * F.col("bin")).alias("mixed_tokens"))
     spark = documents.sparkSession
     asked = spark.createDataFrame([(r.source, r.target_share, r.max_repeats, r.n_docs, r.tokens, r.rate if r.rate < FULL else float(r.max_repeats)) for r in found], "source string, target_share double, max_repeats bigint, n_docs bigint, available_tokens bigint, rate double")
