@@ -63,10 +63,9 @@ def _joined_states(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
-    joined = _joined_states(spark, folder)
-    per_key = heavy_keys.rolled_up(joined, ["tomo", "ref"], VALUES, ANGLES)
-    total = joined.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total"))
-    return heavy_keys.heavy(per_key.crossJoin(F.broadcast(total)), F.col("total"), 3).select("field", "key_value")
+    per_key = heavy_keys.rolled_up(_joined_states(spark, folder), ["tomo", "ref"], VALUES, ANGLES)
+    total = table(spark, folder, "dynamo_tbl").count()  # from the files' footers
+    return heavy_keys.heavy(per_key, F.lit(total), 3).select("field", "key_value")
 
 
 def p3_per_key(spark: SparkSession, folder: str) -> DataFrame:
@@ -158,6 +157,19 @@ k AS (SELECT 'tomo' AS field, tomo AS key_value, * FROM j UNION ALL SELECT 'ref'
 SELECT field, key_value, count(*) AS n_rows, count(CASE WHEN n > 0 THEN 1 END) AS n_matched, CAST(sum(n) AS BIGINT) AS n_pairs, {_MEANS}
 FROM k WHERE key_value IS NOT NULL GROUP BY 1, 2
 """
+_RECORDS = r"""
+WITH cur AS (
+  SELECT file_id, content FROM (SELECT *, row_number() OVER (PARTITION BY path ORDER BY modified_at DESC NULLS LAST, file_id) AS k FROM particle_files WHERE NOT regexp_matches(path, '(^|/)[_.][^/]*$')) WHERE k = 1
+), parts AS (SELECT file_id, regexp_split_to_array(content, '\r\n|\n|\r') AS l FROM cur WHERE content IS NOT NULL),
+lines AS (SELECT file_id, trim(unnest(l), e' \t') AS s, generate_subscripts(l, 1) AS i FROM parts),
+marked AS (SELECT *, sum(CASE WHEN starts_with(lower(s), 'data_') THEN 1 ELSE 0 END) OVER (PARTITION BY file_id ORDER BY i) AS b FROM lines WHERE s <> '' AND NOT starts_with(s, '#')),
+chosen AS (SELECT file_id, coalesce(min(CASE WHEN lower(s) = 'data_particles' THEN b END), min(CASE WHEN lower(s) <> 'data_optics' THEN b END)) AS b FROM marked WHERE starts_with(lower(s), 'data_') GROUP BY 1),
+own AS (SELECT m.* FROM marked m JOIN chosen USING (file_id, b)),
+labels AS (SELECT file_id, regexp_extract(s, '^\S+') AS label, row_number() OVER (PARTITION BY file_id ORDER BY i) AS c FROM own WHERE starts_with(s, '_')),
+heads AS (SELECT file_id, count(*) AS n, max(CASE WHEN label = '_tag' THEN c END) AS t, max(CASE WHEN label = '_rlnImageName' THEN c END) AS g FROM labels GROUP BY 1),
+found AS (SELECT own.file_id, regexp_extract_all(s, '"[^"]*"|''[^'']*''|\S+') AS v FROM own WHERE NOT starts_with(s, '_') AND NOT starts_with(lower(s), 'data_') AND lower(s) <> 'loop_')
+SELECT DISTINCT CAST(v[t] AS BIGINT) AS tag, regexp_replace(v[g], '^["''](.*)["'']$', '\1') AS image_name FROM found JOIN heads USING (file_id) WHERE len(v) = n AND t IS NOT NULL AND g IS NOT NULL AND regexp_full_match(v[t], '[0-9]+')
+"""
 SQL = {
     "p2_found": _ORPHANS + "SELECT src_table, row_key FROM orphans",
     "p2_report": _ORPHANS
@@ -168,6 +180,7 @@ SELECT field, key_value FROM (
   UNION ALL SELECT 'ref', CAST(round(ref) AS BIGINT), count(*) FROM dynamo_tbl GROUP BY 2
 ) WHERE key_value IS NOT NULL AND n * 100 >= 3 * (SELECT count(*) FROM dynamo_tbl)""",
     "p3_per_key": _PER_KEY,
+    "p5_found": _RECORDS,
     "p4_found": _LINES + "SELECT line_id FROM judged WHERE reason IS NOT NULL",
     "p4_reasons": _LINES + "SELECT line_id, reason FROM judged WHERE reason IS NOT NULL",
     "p4_rows": _LINES + "SELECT line_id, " + ", ".join(f"v[{i + 1}] AS {c}" for i, c in enumerate(TBL_COLUMNS)) + " FROM judged WHERE reason IS NULL",

@@ -126,8 +126,8 @@ SELECT star_id, tag AS tag, 1 AS ref, x, y, z FROM star_particles WHERE averaged
 UNION ALL SELECT star_id, tag + (SELECT max(tag) FROM star_particles), 2, 0.0, 0.0, 0.0 FROM star_particles WHERE averaged = 0""")
 def union_real_noise(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "star_particles")
-    highest = F.broadcast(rows.agg(F.max("tag").alias("highest")))
-    noise = rows.where("averaged = 0").crossJoin(highest).select("star_id", (c("tag") + c("highest")).alias("tag"), F.lit(2).alias("ref"), *(F.lit(0.0).alias(a) for a in "xyz"))
+    highest = rows.agg(F.max("tag")).first()[0]
+    noise = rows.where("averaged = 0").select("star_id", (c("tag") + F.lit(highest)).alias("tag"), F.lit(2).alias("ref"), *(F.lit(0.0).alias(a) for a in "xyz"))
     return rows.where("averaged = 1").select("star_id", "tag", F.lit(1).alias("ref"), *"xyz").unionByName(noise)
 
 

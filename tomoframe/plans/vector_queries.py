@@ -58,24 +58,24 @@ def class_vector_mean(spark: SparkSession, d: str) -> DataFrame:
 _MASK = "(SELECT pos FROM (SELECT generate_subscripts(embedding, 1) - 1 AS pos, unnest(embedding) AS x FROM embeddings WHERE vec_id = (SELECT min(vec_id) FROM embeddings)) WHERE x > 0)"
 
 
-def _mask(spark: SparkSession, d: str) -> DataFrame:
-    """One row: for each position whether the first vector is above 0 there."""
-    rows = _doubles(spark, d)
-    return F.broadcast(rows.agg(F.transform(F.min_by("e", "vec_id"), lambda x: x > 0).alias("mask")))
+def _mask(spark: SparkSession, d: str) -> Column:
+    """For each position whether the first vector is above 0 there; a constant of one vector's length."""
+    first = _doubles(spark, d).agg(F.min_by("e", "vec_id")).first()[0] or []
+    return F.array(*(F.lit(x > 0) for x in first)).cast("array<boolean>")
 
 
 @query(f"SELECT vec_id, round(avg(x), 6) + 0.0 AS mean FROM {_LONG} WHERE pos IN {_MASK} GROUP BY 1")
 def masked_mean(spark: SparkSession, d: str) -> DataFrame:
-    under = F.filter(F.zip_with("e", "mask", lambda x, m: F.when(m, x)), lambda x: x.isNotNull())
+    under = F.filter(F.zip_with("e", _mask(spark, d), lambda x, m: F.when(m, x)), lambda x: x.isNotNull())
     mean = F.aggregate(under, F.lit(0.0), lambda s, x: s + x) / F.size(under)
-    return _doubles(spark, d).crossJoin(_mask(spark, d)).select("vec_id", rounded(mean).alias("mean"))
+    return _doubles(spark, d).select("vec_id", rounded(mean).alias("mean"))
 
 
 @query(f"SELECT vec_id, round(avg(CASE WHEN pos IN {_MASK} AND x > 0 THEN 1.0 ELSE 0.0 END), 6) AS coverage FROM {_LONG} GROUP BY 1")
 def mask_coverage(spark: SparkSession, d: str) -> DataFrame:
     """The share of positions at which a vector and the mask are both above 0."""
-    both = F.filter(F.zip_with("e", "mask", lambda x, m: m & (x > 0)), lambda b: b)
-    return _doubles(spark, d).crossJoin(_mask(spark, d)).select("vec_id", F.round(F.size(both) / F.size("e"), 6).alias("coverage"))
+    both = F.filter(F.zip_with("e", _mask(spark, d), lambda x, m: m & (x > 0)), lambda b: b)
+    return _doubles(spark, d).select("vec_id", F.round(F.size(both) / F.size("e"), 6).alias("coverage"))
 
 
 @query(f"SELECT vec_id, round(min(x), 6) + 0.0 AS smallest, round(max(x), 6) + 0.0 AS largest, round(avg(x), 6) + 0.0 AS mean, round(stddev_pop(CAST(x AS DOUBLE)), 6) AS std FROM (SELECT vec_id, CAST(x AS DOUBLE) AS x FROM {_LONG}) GROUP BY 1")
@@ -116,8 +116,8 @@ def assigned_ref_join(spark: SparkSession, d: str) -> DataFrame:
     """Each vector with one reference of its own, the label less one, cut to the range that there is."""
     rows = _doubles(spark, d)
     refs = _means(rows, "label").withColumnRenamed("label", "ref")
-    ends = F.broadcast(rows.agg(F.min("label").alias("lo"), F.max("label").alias("hi")))
-    own = rows.crossJoin(ends).withColumn("ref", F.least(F.greatest(c("label") - 1, "lo"), "hi"))
+    ends = rows.agg(F.min("label"), F.max("label")).first()
+    own = rows.withColumn("ref", F.least(F.greatest(c("label") - 1, F.lit(ends[0])), F.lit(ends[1])))
     return own.join(broadcast_if_small(refs), "ref").select("vec_id", "ref", rounded(_ncc(c("e"), c("m"))).alias("cc"))
 
 
