@@ -134,9 +134,11 @@ def shares(documents: DataFrame, targets: DataFrame, seed: int = 17, total_token
     found = rates(documents, targets, seed, total_tokens, tokenizer, folder)
     drawn = _copies(documents.select("doc_id", "source", "text"), found, seed).select("source", F.col("count").alias("bin"), "text")
     sizes = spread(drawn).mapInArrow(_counted(tokenizer, folder), "source string, bin int, n_tokens bigint")
-    per_source = sizes.groupBy("source").agg(F.sum("bin").alias("n_copies"), F.max("bin").alias("most_copies"), F.sum(F.col("n_tokens") * F.col("bin")).alias("mixed_tokens"))
-    spark = documents.sparkSession
-    asked = spark.createDataFrame([(r.source, r.target_share, r.max_repeats, r.n_docs, r.tokens, r.rate if r.rate < FULL else float(r.max_repeats)) for r in found], "source string, target_share double, max_repeats bigint, n_docs bigint, available_tokens bigint, rate double")
-    joined = F.broadcast(asked).join(per_source, "source", "left").fillna(0, ["n_copies", "most_copies", "mixed_tokens"])
-    total = per_source.agg(F.sum("mixed_tokens").alias("total"))
-    return joined.crossJoin(F.broadcast(total)).withColumn("actual_share", F.when(F.col("total") > 0, F.col("mixed_tokens") / F.col("total")).otherwise(0.0)).drop("total")
+    # One row for each source of the target table, so that they may go through the driver.
+    reached = {r["source"]: r for r in sizes.groupBy("source").agg(F.sum("bin").alias("copies"), F.max("bin").alias("most"), F.sum(F.col("n_tokens") * F.col("bin")).alias("tokens")).collect()}
+    total = sum(r["tokens"] for r in reached.values())
+    rows = []
+    for r in found:
+        copies, most, tokens = (reached[r.source][k] for k in ("copies", "most", "tokens")) if r.source in reached else (0, 0, 0)
+        rows.append((r.source, r.target_share, r.max_repeats, r.n_docs, r.tokens, r.rate if r.rate < FULL else float(r.max_repeats), copies, most, tokens, tokens / total if total else 0.0))
+    return documents.sparkSession.createDataFrame(rows, "source string, target_share double, max_repeats bigint, n_docs bigint, available_tokens bigint, rate double, n_copies bigint, most_copies bigint, mixed_tokens bigint, actual_share double")
