@@ -2,9 +2,11 @@ from __future__ import annotations
 
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from tomoframe.functions import geometry as g
+from tomoframe.operators import conversion
 from tomoframe.operators.ordinals import cyclic_join, first_seen_ids, with_ordinal
 from tomoframe.sources import tables
 
@@ -76,3 +78,32 @@ def test_euler_forms(spark):
     y = [[F.cos(F.radians(tilt)), F.lit(0.0), F.sin(F.radians(tilt))], [F.lit(0.0), F.lit(1.0), F.lit(0.0)], [-F.sin(F.radians(tilt)), F.lit(0.0), F.cos(F.radians(tilt))]]
     same = g.product(g.product(g._z(rot), y), g._z(psi))
     assert df.select(F.greatest(*(F.abs(m[i][j] - same[i][j]) for i in range(3) for j in range(3))).alias("w")).agg(F.max("w")).first()[0] < 1e-9
+
+
+def test_conversion(spark, tmp_path):
+    rows = [(1.0, 10.0, 20.0, 30.0, 40.0, 50.0, 60.0, 1.5, -2.0, 0.0, 1.2), (2.0, None, 0.0, 0.0, float("nan"), 0.0, 0.0, 0.0, 0.0, 0.0, 9.7)]
+    df = spark.createDataFrame(rows, "tag double, x double, y double, z double, tdrot double, tilt double, narot double, dx double, dy double, dz double, tomo double")
+    star = conversion.to_star(df, 4.0, (100, 200, 50))
+    got = {r.tag: r for r in star.collect()}
+    assert (got[1].rlnCenteredCoordinateXAngst, got[1].rlnOriginXAngst, got[1].rlnAngleRot, got[1].rlnAnglePsi) == (-160.0, -6.0, -50.0, 150.0)
+    assert got[2].rlnCenteredCoordinateXAngst is None and got[2].rlnAngleRot is None and got[2].rlnMicrographName == "9"
+    back = {r.tag: r for r in conversion.from_star(star, 4.0, (100, 200, 50)).collect()}
+    assert all(abs(getattr(back[1], c) - v) < 1e-9 for c, v in zip(("x", "y", "z", "tdrot", "tilt", "narot", "dx", "dy", "dz"), rows[0][1:]))
+    with pytest.raises(ValueError):
+        conversion.to_star(df)
+    with pytest.raises(ValueError):
+        conversion.to_star(df.drop("tilt"), 1.0, (1, 1, 1))
+    listed = spark.createDataFrame([(1, "a", "/a.mrc")], "tomo_id bigint, rlnMicrographName string, tomo_path string")
+    named = {r.tag: (r.rlnMicrographName, r.tomo_path) for r in conversion.with_names(df, listed).collect()}
+    assert named == {1.0: ("a", "/a.mrc"), 2.0: ("9", None)}
+    (tmp_path / "a.tbl").write_text(" ".join(["3"] * 35) + "\n")
+    (tmp_path / "a.vll").write_text("/x/one.mrc\n/x/two.mrc\n/x/three.mrc\n")
+    conversion.tbl_to_star(spark, str(tmp_path / "a.tbl"), str(tmp_path / "a.vll"), str(tmp_path / "star"), centred=False)
+    assert any("three" in p.read_text() for p in (tmp_path / "star").glob("*.txt"))
+
+
+def test_first_existing(spark):
+    df = spark.createDataFrame([(1, "a", "b"), (2, "x", "b"), (3, None, "y"), (1, "a", "b")], "i int, p string, q string")
+    listing = spark.createDataFrame([("a",), ("b",), ("b",), (None,)], "path string")
+    got = sorted((r.i, r.found) for r in conversion.first_existing(df, [F.col("p"), F.col("q")], listing).collect() if r.found)
+    assert got == [(1, "a"), (1, "a"), (2, "b")]

@@ -245,3 +245,52 @@ def test_crop_from_files(spark, tmp_path):
     assert {r.tag for r in pipelines.crop(df, 8, fill=0).collect()} == {1, 2, 4}
     with pytest.raises(ValueError):
         pipelines.crop(df, 7)
+
+
+def test_functions_on_columns(spark):
+    from tomoframe.functions import udfs
+
+    b = brick(8)
+    df = spark.createDataFrame([(1, 8, 8, 8, b.tobytes(), 30.0), (2, 8, 8, 8, b"cut", 30.0), (3, 8, 8, 8, None, 30.0), (4, 8, 8, 8, b.tobytes(), None)], "i int, nz int, ny int, nx int, data binary, a double")
+    zero, f = ops.F.lit(0.0), ops.F
+    got = {
+        r.i: r
+        for r in df.select(
+            "i",
+            udfs.rotate("data", f.col("a"), zero, zero).alias("t"),
+            udfs.shift("data", f.lit(1.0), zero, zero).alias("s"),
+            udfs.lowpass("data", f.lit(8.0), f.lit(1.0)).alias("l"),
+            udfs.apply_wedge("data", f.lit(1), f.lit(-60.0), f.lit(60.0), zero, zero).alias("w"),
+            udfs.symmetrise("data", f.lit(4)).alias("y"),
+            udfs.inverse_transform("data", zero, zero, zero, f.lit(-1.0), zero, zero).alias("u"),
+            udfs.ncc("data", "data").alias("n"),
+            udfs.local_ncc("data", "data").alias("q"),
+        ).collect()
+    }
+    as_box = lambda x: np.frombuffer(x, "<f4").reshape(8, 8, 8)
+    assert np.allclose(as_box(got[1].t), v.turned(b, v.rotation(30, 0, 0))) and np.allclose(as_box(got[1].s), v.shifted(b, (1, 0, 0))) and (as_box(got[1].u) == as_box(got[1].s)).all()
+    assert got[1].n == pytest.approx(1) and got[1].q > 0.5 and got[2].t is None and got[3].n is None and got[4].t is None and got[4].s is not None
+    assert np.allclose(as_box(got[1].w), v.filtered(b, v.wedge(b.shape, 1, -60.0, 60.0, 0.0, 0.0)), atol=1e-6) and np.allclose(as_box(got[1].y), v.symmetrised(b, "c4"), atol=1e-6)
+    spark.udtf.register("shift_candidates", udfs.shift_candidates)
+    spark.udtf.register("angle_candidates", udfs.angle_candidates)
+    assert spark.sql("select count(*) from shift_candidates(2, 'cube')").first()[0] == 125
+    assert spark.sql("select count(*) from angle_candidates(60, 30, 0, 10)").first()[0] == len(v.angle_list(60, 30, 0, 10))
+
+
+def test_tomogram_in_slabs(spark, tmp_path):
+    b, size = brick(8), (30, 28, 25)
+    where = pipelines.positions(spark, 6, size, 8)
+    assert where.where("x < 4 or x > 26 or y < 4 or y > 24 or z < 4 or z > 21").count() == 0
+    for slab in (7, 25):
+        pipelines.write_tomogram(pipelines.tomogram(where, b, size, noise=0.001, ratio=1000.0, slab=slab), str(tmp_path / f"t{slab}.mrc"), size, 4.0)
+    many, one = (mrc.decode((tmp_path / f"t{n}.mrc").read_bytes()) for n in (7, 25))
+    assert many[0].shape == (25, 28, 30) and many[1] == pytest.approx(4.0) and np.allclose(many[0], one[0], atol=0.02)
+    want = np.zeros((25, 28, 30), np.float32)
+    for r in where.collect():
+        v.embed(want, v.turned(b, v.rotation(r.tdrot, r.tilt, r.narot)), (r.z, r.y, r.x))
+    assert v.ncc(one[0], want) > 0.99
+
+
+def test_rows_as_json(spark, tmp_path):
+    pipelines.write_rows_json(spark.createDataFrame([(1, 2, b"x"), (2, 1, b"y")], "tag int, ref int, data binary"), str(tmp_path / "j"))
+    assert sorted(p.name for p in (tmp_path / "j").glob("ref=*")) == ["ref=1", "ref=2"] and spark.read.json(str(tmp_path / "j")).count() == 2

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tomoframe.functions import geometry as g
 from tomoframe.functions.columns import number, trimmed, whole
 from tomoframe.functions.formatting import general_format, hms, lenient_number
+from tomoframe.operators.conversion import first_existing
 from tomoframe.operators.ordinals import cyclic_join, first_seen_ids, with_ordinal
 from tomoframe.plans.registry import Registry, rounded
 from tomoframe.schema import TBL_COLUMNS
@@ -87,6 +88,17 @@ def semi_files(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "vll").select("entry_id", trimmed("tomo_path").alias("path")).join(table(spark, d, "tomo_volumes").select("path"), "path", "left_semi").select("entry_id")
 
 
+@query(r"""
+WITH c AS (SELECT entry_id, trim(tomo_path, e' \t\r\n') AS p FROM vll), l AS (SELECT DISTINCT path FROM tomo_volumes)
+SELECT entry_id, coalesce(a.path, b.path, d.path) AS found FROM c LEFT JOIN l a ON a.path = CASE WHEN p <> '' THEN p END
+LEFT JOIN l b ON b.path = regexp_replace(p, '\.rec$', '.mrc') LEFT JOIN l d ON d.path = regexp_replace(p, '/v[0-9]+/', '/')""")
+def resolve_paths(spark: SparkSession, d: str) -> DataFrame:
+    """The first of several places of a tomogram that exists: as listed, with the other ending, without the version folder."""
+    path = trimmed("tomo_path")
+    candidates = [path, F.regexp_replace(path, r"\.rec$", ".mrc"), F.regexp_replace(path, "/v[0-9]+/", "/")]
+    return first_existing(table(spark, d, "vll").select("entry_id", "tomo_path"), candidates, table(spark, d, "tomo_volumes")).select("entry_id", "found")
+
+
 @query("""
 WITH p AS (SELECT star_id, row_number() OVER (ORDER BY star_id) - 1 AS i FROM star_particles),
 v AS (SELECT path, row_number() OVER (ORDER BY path, created_at, voxel_size NULLS FIRST, nz) - 1 AS j FROM (SELECT path, created_at, voxel_size, nz FROM tomo_volumes))

@@ -187,3 +187,62 @@ def synthetic(spark: SparkSession, template: np.ndarray, n: int, seed: int = 42,
             yield pd.DataFrame(out, columns=["tag", "ref", "tdrot", "tilt", "narot", "dx", "dy", "dz", "nz", "ny", "nx", "data"])
 
     return spark.range(n + noise_only).mapInPandas(run, "tag bigint, ref int, tdrot double, tilt double, narot double, dx double, dy double, dz double, nz int, ny int, nx int, data binary")
+
+
+def positions(spark: SparkSession, n: int, size: tuple[int, int, int], side: int, seed: int = 42) -> DataFrame:
+    """`n` particles in a tomogram of `size` (x, y, z): tag, 0-based x, y, z at least half a side from its faces, and angles.
+    A row depends on the seed and its number only."""
+    u = lambda k: F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.lit(k), "id"), 11) / F.lit(float(2**53))
+    at = [(F.lit(side / 2) + u(i) * (s - side)).alias(a) for i, (a, s) in enumerate(zip("xyz", size))]
+    return spark.range(n).select((F.col("id") + 1).alias("tag"), *at, (u(3) * 360).alias("tdrot"), F.degrees(F.acos(1 - 2 * u(4))).alias("tilt"), (u(5) * 360).alias("narot"))
+
+
+def tomogram(particles: DataFrame, template: np.ndarray, size: tuple[int, int, int], noise: float = 1.0, ratio: float = 1.0, slab: int = 32, seed: int = 42) -> DataFrame:
+    """A tomogram of `size` (x, y, z) in slabs along z: z0, nz, ny, nx, data. Noise of its own seed fills each slab, and every
+    particle that reaches into it is turned and added, scaled so that the template's spread is `ratio` times the noise.
+
+    Slabs are made by one task each from the particles that touch them; no task has the whole tomogram.
+    """
+    nx, ny, nz = size
+    spark = particles.sparkSession
+    shared = spark.sparkContext.broadcast(template * (ratio * noise / template.std() if template.std() > 0 else 1.0))
+    half = max(template.shape)
+    near = F.sequence(F.greatest(F.lit(0), F.floor((F.col("z") - half) / slab).cast("int")), F.least(F.lit((nz - 1) // slab), F.floor((F.col("z") + half) / slab).cast("int")))
+    names = ["tag", "x", "y", "z", "tdrot", "tilt", "narot"]
+    placed = particles.select(F.explode(near).alias("slab"), *(F.col(c).cast("double").alias(c) for c in names))
+    all_slabs = spark.range(-(-nz // slab)).select(F.col("id").cast("int").alias("slab"), *(F.lit(None).cast("double").alias(c) for c in names))
+
+    def build(pdf: pd.DataFrame) -> pd.DataFrame:
+        k = int(pdf["slab"].iloc[0])
+        height = min(slab, nz - k * slab)
+        vol = np.random.default_rng([seed, k]).normal(0, noise, (height, ny, nx)).astype(np.float32)
+        for r in pdf.dropna(subset=["tag"]).sort_values("tag").itertuples():
+            v.embed(vol, v.turned(shared.value, v.rotation(r.tdrot, r.tilt, r.narot)), (np.rint(r.z) - k * slab, r.y, r.x))
+        return pd.DataFrame([(k * slab, height, ny, nx, vol.astype("<f4").tobytes())], columns=["z0", "nz", "ny", "nx", "data"])
+
+    return placed.unionByName(all_slabs).groupBy("slab").applyInPandas(build, "z0 int, nz int, ny int, nx int, data binary")
+
+
+def write_tomogram(slabs: DataFrame, path: str, size: tuple[int, int, int], voxel_size: float = 0.0) -> None:
+    """Slabs into one MRC file on a folder that all executors share; each task writes the bytes of its own slabs."""
+    nx, ny, nz = size
+    with open(path, "wb") as f:
+        head = bytearray(mrc.encode(np.zeros((1, 1, 1), np.float32), voxel_size)[: mrc.HEADER])
+        head[0:12] = np.array([nx, ny, nz], "<i4").tobytes()
+        head[28:40] = np.array([nx, ny, nz], "<i4").tobytes()
+        head[40:52] = (np.array([nx, ny, nz], "<f4") * np.float32(voxel_size)).tobytes()
+        f.write(head)
+        f.truncate(mrc.HEADER + 4 * nx * ny * nz)
+
+    def run(rows) -> None:
+        with open(path, "r+b") as f:
+            for r in rows:
+                f.seek(mrc.HEADER + 4 * r["z0"] * ny * nx)
+                f.write(r["data"])
+
+    slabs.foreachPartition(run)
+
+
+def write_rows_json(rows: DataFrame, folder: str) -> None:
+    """The rows of an iteration as JSON lines, in one folder for each reference."""
+    rows.drop("data").write.mode("overwrite").partitionBy("ref").json(folder)
