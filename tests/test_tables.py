@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tomoframe.functions import geometry as g
 from tomoframe.operators import conversion
+from tomoframe.operators.ordered import in_order
 from tomoframe.operators.ordinals import cyclic_join, first_seen_ids, with_ordinal
 from tomoframe.sources import tables
 
@@ -107,3 +108,16 @@ def test_first_existing(spark):
     listing = spark.createDataFrame([("a",), ("b",), ("b",), (None,)], "path string")
     got = sorted((r.i, r.found) for r in conversion.first_existing(df, [F.col("p"), F.col("q")], listing).collect() if r.found)
     assert got == [(1, "a"), (1, "a"), (2, "b")]
+
+
+def test_in_order_with_a_hot_group(spark):
+    rng = random.Random(3)
+    rows = [(rng.choice(["a"] * 8 + ["b", "c", None]), i, rng.choice([None, 1, 2, 3]), "clash") for i in range(500)]
+    df = spark.createDataFrame(rows, "k string, t int, v int, place string").repartition(6)
+    got = {r.t: r for r in in_order(df, ["k"], ["t"], ["v"], ["t"]).collect()}
+    for k in ("a", "b", "c", None):
+        own = [r for r in rows if r[0] == k]
+        for i, (_, t, x, _) in enumerate(own):
+            want = (i + 1, len(own), own[i - 1][2] if i else None, own[i + 1][2] if i + 1 < len(own) else None, own[0][1], x)
+            assert (got[t].place, got[t].group_size, got[t].previous_v, got[t].next_v, got[t].first_t, got[t].v) == want
+    assert len(got) == 500 and in_order(df.limit(0), ["k"], ["t"], ["v"]).count() == 0

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tomoframe.functions import geometry as g
 from tomoframe.functions.columns import number, trimmed, whole
 from tomoframe.functions.formatting import general_format, hms, lenient_number
 from tomoframe.operators.conversion import first_existing
+from tomoframe.operators.ordered import in_order
 from tomoframe.operators.ordinals import cyclic_join, first_seen_ids, with_ordinal
 from tomoframe.plans.registry import Registry, rounded
 from tomoframe.schema import TBL_COLUMNS
@@ -364,9 +365,9 @@ WITH w AS (SELECT user_id, event_id, value, lag(value) OVER (PARTITION BY user_i
 SELECT user_id, event_id, round(CASE WHEN abs(l - 2 * value + r) < 1e-8 THEN 0 ELSE greatest(-1.0, least(1.0, (l - r) / 2 / (l - 2 * value + r))) END, 6) + 0.0 AS top FROM w WHERE value > l AND value > r""")
 def parabolic_peak(spark: SparkSession, d: str) -> DataFrame:
     """Where the values of a user have a local peak, and how far beside it the parabola's top lies."""
-    by = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    rows = table(spark, d, "events").select("user_id", "event_id", "value", F.lag("value").over(by).alias("l"), F.lead("value").over(by).alias("r")).where("value > l and value > r")
-    return rows.select("user_id", "event_id", rounded(g.parabola_offset(c("l"), c("value"), c("r"))).alias("top"))
+    rows = in_order(table(spark, d, "events").select("user_id", "ts", "event_id", "value"), ["user_id"], ["ts", "event_id"], ["value"])
+    top = g.parabola_offset(c("previous_value"), c("value"), c("next_value"))
+    return rows.where("value > previous_value and value > next_value").select("user_id", "event_id", rounded(top).alias("top"))
 
 
 @query("""
@@ -374,8 +375,8 @@ WITH w AS (SELECT event_id, user_id, event_type, lag(event_type) OVER (PARTITION
 SELECT event_id, user_id, event_type FROM w WHERE l IS NULL OR l <> event_type""")
 def consecutive_dedup(spark: SparkSession, d: str) -> DataFrame:
     """Without events that repeat the one before."""
-    before = F.lag("event_type").over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
-    return table(spark, d, "events").withColumn("l", before).where("l is null or l <> event_type").select("event_id", "user_id", "event_type")
+    rows = in_order(table(spark, d, "events").select("event_id", "user_id", "ts", "event_type"), ["user_id"], ["ts", "event_id"], ["event_type"])
+    return rows.where("previous_event_type is null or previous_event_type <> event_type").select("event_id", "user_id", "event_type")
 
 
 @query("SELECT star_id, CASE WHEN averaged = 1 THEN printf('particle_%012d.mrc', tag) ELSE printf('noise_%012d.mrc', tag) END AS file FROM star_particles")
@@ -444,9 +445,9 @@ e AS (SELECT *, CAST(floor(passed * (total - done) / CAST(done AS DOUBLE)) AS BI
 SELECT user_id, event_id, done, total, printf('%02d:%02d:%02d', eta // 3600, eta // 60 % 60, eta % 60) AS eta FROM e""")
 def progress_eta(spark: SparkSession, d: str) -> DataFrame:
     """How far each user's events are, and the time left at the pace so far."""
-    of_user = Window.partitionBy("user_id")
-    rows = table(spark, d, "events").withColumn("at", F.unix_micros(c("ts").cast("timestamp")))
-    rows = rows.select("user_id", "event_id", F.count("*").over(of_user.orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)).alias("done"), F.count("*").over(of_user).alias("total"), F.expr("(at - min(at) over (partition by user_id)) div 1000000").alias("passed"))
+    rows = table(spark, d, "events").select("user_id", "event_id", "ts", F.unix_micros(c("ts").cast("timestamp")).alias("us"))
+    rows = in_order(rows, ["user_id"], ["ts", "event_id"], firsts=["us"]).withColumnsRenamed({"place": "done", "group_size": "total"})
+    rows = rows.withColumn("passed", F.expr("(us - first_us) div 1000000"))
     left = F.floor(c("passed") * (c("total") - c("done")) / c("done")).cast("bigint")
     return rows.select("user_id", "event_id", "done", "total", hms(left).alias("eta"))
 
