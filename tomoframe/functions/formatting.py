@@ -7,6 +7,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tomoframe.functions.columns import let
+
 
 @F.pandas_udf(T.StringType())
 def general_format(values: pd.Series) -> pd.Series:
@@ -22,8 +24,8 @@ def whole_format(value: Column) -> Column:
 def lenient_number(token: Column) -> Column:
     """The finite number that a token is, the real part of a complex one; null for anything else."""
     real = F.regexp_extract(token, r"^([+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?)(?:[+-](?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?[iIjJ])?\z", 1)
-    value = F.when(real != "", real).try_cast("double")
-    return F.when(F.abs(value) < float("inf"), value)
+    value = let(real, lambda r: F.when(r != "", r.try_cast("double")))
+    return let(value, lambda x: F.when(F.abs(x) < float("inf"), x))
 
 
 def hms(seconds: Column) -> Column:
