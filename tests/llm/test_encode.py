@@ -5,10 +5,12 @@ import random
 
 import numpy as np
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 from tomoframe.llm import tokenizers
 from tomoframe.llm.chunks import chunk_starts
-from tomoframe.llm.encode import encoded
+from tomoframe.llm.encode import _Joiner, encoded
 
 pytestmark = pytest.mark.skipif(not os.path.exists(f"{tokenizers.FOLDER}/byte_bpe_50k.tiktoken"), reason="no vocabulary")
 WORDS = ["the", "pump", " makes", "\n", "\n\n", "  ", "\t", "\r\n", "noise", "'s", "don't", "123", "4567", "...", "ポンプ", "から変な音がします。", "Зал", "é", "👍🏽", " ", "　", "<|endoftext|>", "x" * 40, "===", " "]
@@ -56,3 +58,15 @@ def test_long_pieces_are_cut_between_characters():
     assert starts[0] == 0 and np.diff(starts).max() <= 12
     for a, b in zip(starts, np.append(starts[1:], len(data))):
         bytes(data[a:b]).decode()
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.lists(st.one_of(st.sampled_from(WORDS), st.text(max_size=8)), max_size=40), st.sampled_from([(6, 5), (6, 12), (12, 40), (64, 4000)]))
+def test_any_text_is_repaired_to_the_whole_encoding(pieces, sizes):
+    text = "".join(pieces).encode("utf-8", "ignore").decode()
+    data = np.frombuffer(text.encode(), np.uint8)
+    joiner = _Joiner("byte_bpe_50k", tokenizers.FOLDER)
+    starts = chunk_starts(data, np.array([0, len(data)]), *sizes)
+    chunks = [bytes(data[a:b]).decode() for a, b in zip(starts, np.append(starts[1:], len(data)))]
+    assert "".join(chunks) == text
+    assert joiner.joined([np.array(joiner.encode(c), np.int32) for c in chunks]).tolist() == joiner.encode(text)

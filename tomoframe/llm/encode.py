@@ -3,8 +3,8 @@
 Texts are cut into content-defined chunks. Chunks that documents share meet by their hash and are encoded once; their
 ids go to all places where they stand. Where two chunks meet, their ids agree with those of the whole text if a visible
 character stands before the join and a blank after it, since the tokenizer's pattern always ends a piece there. Any
-other join is repaired: the ids around it are replaced by those of the text between the nearest such places, over as
-many chunks as it takes.
+other join is repaired: the text around it is encoded again, from the last pieces of the pattern that may change until both
+chunks' pieces agree, over as many chunks as it takes.
 
 A chunk that many texts of a batch share is spread over several tasks by the batch's number, and encoded in each.
 """
@@ -16,6 +16,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,6 +27,8 @@ from tomoframe.session import spread
 MEAN_BYTES, MOST_BYTES = 128, 8192
 #: Texts are cut in slices of about so many bytes; a chunk in more than one of SHARE texts of a slice counts as hot.
 SLICE_BYTES, SHARE, SALTS = 1 << 21, 16, 64
+#: Pieces of the tokenizer's pattern at the end of a text that text added to it can change: two, as in "'l" + "l", and one to spare.
+MAY_CHANGE = 3
 
 _CHUNKS = pa.schema([("chunk", pa.binary()), ("salt", pa.int32()), ("rids", pa.list_(pa.int64())), ("doc_ids", pa.list_(pa.int64())), ("seqs", pa.list_(pa.int32()))])
 _CHUNKS_DDL = "chunk binary, salt int, rids array<bigint>, doc_ids array<bigint>, seqs array<int>"
@@ -116,6 +119,7 @@ class _Joiner:
     def __init__(self, name: str, folder: str):
         encoding, self.spelled = tokenizers.byte_bpe(name, folder)
         self.encode, self.packed = encoding.encode_ordinary, _packed(self.spelled)
+        self.pattern = regex.compile(tokenizers.PATTERN)
         first = np.array([s[0] if s else 0 for s in self.spelled])
         last = np.array([s[-1] if s else 0 for s in self.spelled])
         self.blank_first = np.isin(first, (9, 10, 13, 32))
@@ -124,23 +128,48 @@ class _Joiner:
     def agree(self, left: int, right: int) -> bool:
         return bool(self.visible_last[left] and self.blank_first[right])
 
+    def _text(self, ids: list[int]) -> str:
+        return b"".join([self.spelled[t] for t in ids]).decode("utf-8", "replace")
+
+    def _count(self, ids: list[int], n_bytes: int) -> int:
+        """How many of the first ids spell `n_bytes`."""
+        n = 0
+        while n_bytes > 0:
+            n_bytes -= len(self.spelled[ids[n]])
+            n += 1
+        return n
+
     def joined(self, pieces: list[np.ndarray]) -> np.ndarray:
-        """The ids of all pieces in order, each join repaired where the ids don't agree by themselves."""
+        """The ids of all pieces in order, each join repaired where the ids don't agree by themselves.
+
+        Text that is added can change the last pieces of the pattern before it, no others: from there the text is split and
+        encoded again, until it is split where the next chunk by itself is split as well.
+        """
         done: list[int] = []
+        recent = 0  # where in `done` the text since the last certain place begins
         for piece in pieces:
             right = piece.tolist()
             if not done or not right or self.agree(done[-1], right[0]):
+                recent = len(done)
                 done += right
                 continue
-            # Back and forth to the nearest places at which a piece of the pattern ends in any case.
-            i = len(done) - 1
-            while i > 0 and not self.agree(done[i - 1], done[i]):
-                i -= 1
-            j = 1
-            while j < len(right) and not self.agree(right[j - 1], right[j]):
-                j += 1
-            between = b"".join(self.spelled[t] for t in done[i:] + right[:j])
-            done = done[:i] + self.encode(between.decode("utf-8", "replace")) + right[j:]
+            before, after = self._text(done[recent:]), self._text(right)
+            starts = [m.start() for m in self.pattern.finditer(before)]
+            before = before[starts[-MAY_CHANGE] if len(starts) >= MAY_CHANGE else 0 :]
+            first = len(done) - self._count(done[:recent:-1] + [done[recent]], len(before.encode()))
+            size = len(before)
+            own = {size + m.start() for m in self.pattern.finditer(after)}
+            again, place = [], len(before) + len(after)
+            for m in self.pattern.finditer(before + after):
+                if m.start() in own:
+                    place = m.start()
+                    break
+                again += self.encode(m.group())
+            kept = self._count(right, len(after[: place - size].encode()))
+            del done[first:]
+            done += again
+            recent = first if kept == len(right) else len(done)
+            done += right[kept:]
         return np.array(done, np.int32)
 
 
