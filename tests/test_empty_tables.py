@@ -1,0 +1,20 @@
+"""No query fails on empty tables, and none makes rows of nothing."""
+
+from __future__ import annotations
+
+import pytest
+from empty import emptied
+
+from tomoframe.plans import data_work, particle_queries, vector_queries
+
+QUERIES = data_work.QUERIES | particle_queries.QUERIES | vector_queries.QUERIES
+
+
+@pytest.fixture(scope="module")
+def nothing(spark, data, tmp_path_factory):
+    return emptied(spark, data, tmp_path_factory.mktemp("empty"))
+
+
+@pytest.mark.parametrize("name", sorted(QUERIES))
+def test_empty(spark, nothing, name):
+    assert QUERIES[name](spark, nothing).count() == 0
