@@ -4,8 +4,8 @@ Each row has a number between 0 and 1 from a hash of its id and a seed. Its coun
 distribution at that number, whose mean is the repetition rate of its source, and at most max_repeats. Rows are exploded
 by their count and shuffled globally by another hash.
 
-The sizes that decide the rates are sums over all rows: per source the tokens in each of BINS equal intervals of the
-rows' numbers. From them the rate of a source is found by bisection so that the tokens of the very rows that are drawn
+The sizes that decide the rates are sums over all rows: per source the tokens in each of at most BINS equal
+intervals of the rows' numbers. From them the rate of a source is found by bisection so that the tokens of the very rows that are drawn
 come closest to its share. Only these sums go to the driver; their number is bounded by the target table.
 """
 
@@ -23,9 +23,10 @@ from pyspark.sql import functions as F
 from tomoframe.llm import tokenizers
 from tomoframe.session import spread
 
-BINS = 2048
-#: More sources than this in the target table are refused, since their sums go to the driver.
-MOST_SOURCES = 2000
+#: Intervals per source; fewer if there are many sources, so that at most MOST_SUMS sums go to the driver.
+BINS, MOST_SUMS = 2048, 500_000
+#: More sources than this in the target table are refused.
+MOST_SOURCES = 5000
 #: A rate beyond which every row gets max_repeats copies.
 FULL = 1e9
 
@@ -63,9 +64,9 @@ class Rate:
 
 def _drawn(rate: float, most: int, bins: np.ndarray) -> float:
     """Tokens drawn at a rate, from the sums per interval; inside an interval rows count as evenly spread."""
-    edges = np.clip(poisson_steps(rate, most) * BINS, 0, BINS)
+    n = len(bins)
     above = np.concatenate([[0.0], np.cumsum(bins)])
-    return float(sum(above[-1] - np.interp(e, np.arange(BINS + 1), above) for e in edges))
+    return float((above[-1] - np.interp(poisson_steps(rate, most) * n, np.arange(n + 1), above)).sum())
 
 
 def rates(documents: DataFrame, targets: DataFrame, seed: int, total_tokens: float | None, tokenizer: str, folder: str) -> list[Rate]:
@@ -73,9 +74,10 @@ def rates(documents: DataFrame, targets: DataFrame, seed: int, total_tokens: flo
     asked = targets.groupBy("source").agg(F.max("target_share").cast("double").alias("share"), F.max("max_repeats").cast("bigint").alias("most")).where("source is not null and share > 0 and most > 0").limit(MOST_SOURCES + 1).collect()
     if len(asked) > MOST_SOURCES:
         raise ValueError(f"more than {MOST_SOURCES} sources")
-    rows = documents.where(F.col("source").isin([a.source for a in asked])).select("source", F.floor(number_of(seed) * BINS).cast("int").alias("bin"), "text")
+    n_bins = max(16, min(BINS, MOST_SUMS // max(1, len(asked))))
+    rows = documents.where(F.col("source").isin([a.source for a in asked])).select("source", F.floor(number_of(seed) * n_bins).cast("int").alias("bin"), "text")
     sums = spread(rows).mapInArrow(_counted(tokenizer, folder), "source string, bin int, n_tokens bigint").groupBy("source", "bin").agg(F.sum("n_tokens").alias("t"), F.count(F.lit(1)).alias("n")).collect()
-    bins = {a.source: np.zeros(BINS) for a in asked}
+    bins = {a.source: np.zeros(n_bins) for a in asked}
     docs = dict.fromkeys(bins, 0)
     for r in sums:
         bins[r.source][r.bin] += r.t
