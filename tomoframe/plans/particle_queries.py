@@ -360,6 +360,22 @@ def angle_rings(spark: SparkSession, d: str) -> DataFrame:
     return rings.select("ref", "tilt", g.ring_size(c("tilt"), c("spacing")).alias("n_axes"))
 
 
+@query("""
+WITH p AS (SELECT DISTINCT CAST(ref AS BIGINT) AS ref, 10.0 + CAST(ref AS BIGINT) % 3 * 5 AS spacing, CAST(ref AS BIGINT) % 3 + 1 AS r FROM dynamo_tbl WHERE ref IS NOT NULL),
+t AS (SELECT *, unnest(range(0, CAST(floor(90 / spacing + 0.5 + 1e-9) AS BIGINT) + 1)) * spacing AS tilt FROM p),
+s AS (SELECT *, degrees(acos(greatest(-1.0, least(1.0, (cos(radians(spacing)) - cos(radians(tilt)) * cos(radians(tilt))) / greatest(sin(radians(tilt)) * sin(radians(tilt)), 1e-8))))) AS step FROM t)
+SELECT ref, CAST(sum(CASE WHEN tilt IN (0, 180) OR NOT step > 0 THEN 1 ELSE floor(360 / step) + 2 END) AS BIGINT) AS n_axes, CAST(2 * floor(90 / spacing + 0.5 + 1e-9) + 1 AS BIGINT) AS n_turns, CAST((2 * r + 1) * (2 * r + 1) * (2 * r + 1) AS BIGINT) AS n_shifts,
+  n_axes * n_turns * n_shifts AS n_candidates FROM s GROUP BY ref, spacing, r""")
+def candidate_grid(spark: SparkSession, d: str) -> DataFrame:
+    """How many poses the search of each reference tries: axes of a half sphere, turns within 180 degrees, shifts of a cube.
+    The candidates themselves are made inside the tasks that score them."""
+    rings = angle_rings(spark, d).groupBy("ref").agg(F.sum("n_axes").alias("n_axes"))
+    spacing, r = F.lit(10.0) + F.pmod("ref", F.lit(3)) * 5, F.pmod("ref", F.lit(3)) + 1
+    turns = 2 * F.floor(90.0 / spacing + 0.5 + 1e-9) + 1
+    shifts = (2 * r + 1) * (2 * r + 1) * (2 * r + 1)
+    return rings.select("ref", "n_axes", turns.alias("n_turns"), shifts.cast("bigint").alias("n_shifts"), (c("n_axes") * turns * shifts).cast("bigint").alias("n_candidates"))
+
+
 @query("""
 WITH w AS (SELECT user_id, event_id, value, lag(value) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS l, lead(value) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS r FROM events)
 SELECT user_id, event_id, round(CASE WHEN abs(l - 2 * value + r) < 1e-8 THEN 0 ELSE greatest(-1.0, least(1.0, (l - r) / 2 / (l - 2 * value + r))) END, 6) + 0.0 AS top FROM w WHERE value > l AND value > r""")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -33,7 +34,9 @@ def shared_folder(spark: SparkSession) -> str:
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     app = spark.sparkContext.applicationId
     if app not in _own_folders:
-        _own_folders[app] = "file://" + tempfile.mkdtemp(prefix="tomoframe-")
+        own = tempfile.mkdtemp(prefix="tomoframe-")
+        atexit.register(shutil.rmtree, own, True)
+        _own_folders[app] = f"file://{own}"
     return _own_folders[app]
 
 
