@@ -49,8 +49,8 @@ def zxz_matrix(tdrot: Column, tilt: Column, narot: Column) -> Matrix:
 
 
 def matrix_to_zxz(m: Matrix) -> tuple[Column, Column, Column]:
-    """tdrot, tilt, narot of a rotation matrix; at tilt 0 and 180 narot is 0."""
-    tilt = F.degrees(F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), m[2][2]))))
+    """tdrot, tilt, narot of a rotation matrix; at tilt 0 and 180 narot is 0. What depends on a null is null."""
+    tilt = F.when(m[2][2].isNotNull(), F.degrees(F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), m[2][2])))))
     pole = F.abs(m[2][2]) > 1 - 1e-9
     tdrot = F.when(pole, F.degrees(F.atan2(m[1][0], m[0][0]))).otherwise(F.degrees(F.atan2(m[0][2], -m[1][2])))
     return tdrot, tilt, F.when(pole, F.lit(0.0)).otherwise(F.degrees(F.atan2(m[2][0], m[2][1])))

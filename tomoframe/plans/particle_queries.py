@@ -261,6 +261,27 @@ def euler_compose(spark: SparkSession, d: str) -> DataFrame:
     return out.select("row_id", F.round("b", 4).alias("tilt"), rounded(F.cos(F.radians("a")), 4).alias("cos_tdrot"), rounded(F.cos(F.radians("n")), 4).alias("cos_narot"))
 
 
+_POLE = "abs(m22) > 1 - 1e-9"
+_TDROT, _NAROT = f"CASE WHEN {_POLE} THEN atan2(m10, m00) ELSE atan2(m02, -m12) END", f"CASE WHEN {_POLE} THEN 0.0 ELSE atan2(m20, m21) END"
+
+
+@query(
+    "SELECT row_id, round(CASE WHEN m22 IS NOT NULL THEN degrees(acos(greatest(-1.0, least(1.0, m22)))) END, 4) AS tilt, "
+    + ", ".join(f"round({f}({e}), 4) + 0.0 AS {f}_{name}" for name, e in (("tdrot", _TDROT), ("narot", _NAROT)) for f in ("cos", "sin"))
+    + " FROM (SELECT row_id, "
+    + ", ".join(f"{_BOTH[i][j]} AS m{i}{j}" for i, j in ((2, 2), (0, 2), (1, 2), (2, 0), (2, 1), (0, 0), (1, 0)))
+    + " FROM dynamo_tbl)"
+)
+def euler_compose_all(spark: SparkSession, d: str) -> DataFrame:
+    """As euler_compose, for every row: at a pole narot is 0, an angle that depends on a null is null, and the sine tells an
+    angle from its negative."""
+    turn = tuple(F.lit(x) for x in (30.0, 20.0, 15.0))
+    tdrot, tilt, narot = g.composed((c("tdrot"), c("tilt"), c("narot")), turn)
+    out = table(spark, d, "dynamo_tbl").select("row_id", tdrot.alias("a"), tilt.alias("b"), narot.alias("n"))
+    parts = [rounded(f(F.radians(x)), 4).alias(f"{k}_{name}") for name, x in (("tdrot", "a"), ("narot", "n")) for k, f in (("cos", F.cos), ("sin", F.sin))]
+    return out.select("row_id", F.round("b", 4).alias("tilt"), *parts)
+
+
 _CROP = "".join(f", CAST(ceil(greatest(1.0, floor({a}) - {SIDE / 2})) AS BIGINT) AS {a}_lo, CAST(floor(least({s}.0, floor({a}) + {SIDE / 2} - 1)) AS BIGINT) AS {a}_hi" for a, s in zip("xyz", TOMO_SIZE))
 _OUT = " OR ".join(f"floor({a}) - {SIDE / 2} < 1 OR floor({a}) + {SIDE / 2} - 1 > {s}" for a, s in zip("xyz", TOMO_SIZE))
 
