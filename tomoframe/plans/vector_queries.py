@@ -128,14 +128,9 @@ a{i} AS (SELECT vec_id, min(ref) AS ref FROM (SELECT *, max(round(cc, 9)) OVER (
 m{i + 1} AS (SELECT ref, pos, coalesce(n.m, m{i}.m) AS m FROM m{i} LEFT JOIN (SELECT ref, pos, avg(x) AS m FROM l JOIN a{i} USING (vec_id) GROUP BY 1, 2) n USING (ref, pos))"""
 
 
-@query(f"""
-WITH l AS MATERIALIZED (SELECT vec_id, label, pos, CAST(x AS DOUBLE) AS x FROM {_LONG}), m0 AS (SELECT label AS ref, pos, avg(x) AS m FROM l WHERE vec_id % 2 = 0 GROUP BY 1, 2), {_iteration(0)}, {_iteration(1)}, {_iteration(2)}
-SELECT ref, pos, round(m, 5) + 0.0 AS mean FROM m3""")
-def mra_iterate(spark: SparkSession, d: str) -> DataFrame:
-    """Three rounds of assignment to the best mean and new means, begun with the classes of every second vector. A class
-    without vectors keeps its mean. Each round's means are written, which ends the lineage."""
-    rows = _doubles(spark, d)
-    means = _means(rows.where(F.pmod("vec_id", F.lit(2)) == 0), "label").withColumnRenamed("label", "ref")
+def _iterated(rows: DataFrame, first: DataFrame) -> DataFrame:
+    """The means after three rounds begun with the classes of `first`."""
+    means = _means(first, "label").withColumnRenamed("label", "ref")
     for _ in range(3):
         means = written(means, "means")
         scores = rows.crossJoin(broadcast_if_small(means)).select("vec_id", "e", "ref", _ncc(c("e"), c("m")).alias("cc"))
@@ -145,6 +140,25 @@ def mra_iterate(spark: SparkSession, d: str) -> DataFrame:
     return means.select("ref", F.posexplode("m").alias("pos", "x")).select("ref", c("pos").cast("bigint").alias("pos"), rounded(c("x"), 5).alias("mean"))
 
 
+@query(f"""
+WITH l AS MATERIALIZED (SELECT vec_id, label, pos, CAST(x AS DOUBLE) AS x FROM {_LONG}), m0 AS (SELECT label AS ref, pos, avg(x) AS m FROM l WHERE vec_id % 2 = 0 GROUP BY 1, 2), {_iteration(0)}, {_iteration(1)}, {_iteration(2)}
+SELECT ref, pos, round(m, 5) + 0.0 AS mean FROM m3""")
+def mra_iterate(spark: SparkSession, d: str) -> DataFrame:
+    """Three rounds of assignment to the best mean and new means, begun with the classes of every second vector. A class
+    without vectors keeps its mean. Each round's means are written, which ends the lineage."""
+    rows = _doubles(spark, d)
+    return _iterated(rows, rows.where(F.pmod("vec_id", F.lit(2)) == 0))
+
+
+@query(f"""
+WITH l AS MATERIALIZED (SELECT vec_id, label, pos, CAST(x AS DOUBLE) AS x FROM {_LONG}), m0 AS (SELECT label AS ref, pos, avg(x) AS m FROM l GROUP BY 1, 2), {_iteration(0)}, {_iteration(1)}, {_iteration(2)}
+SELECT ref, pos, round(m, 5) + 0.0 AS mean FROM m3""")
+def mra_iterate_all(spark: SparkSession, d: str) -> DataFrame:
+    """As mra_iterate, begun with the classes of all vectors, so that every class has a reference."""
+    rows = _doubles(spark, d)
+    return _iterated(rows, rows)
+
+
 @query()
 def local_ncc(spark: SparkSession, d: str) -> DataFrame:
     """The local score of each box against the mean of its class."""
