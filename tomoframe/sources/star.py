@@ -46,8 +46,9 @@ def blocks(text: str) -> list[tuple[str, list[str], list[list[str]]]]:
                 out[-1] = (out[-1][0], columns, [(out[-1][2][0] if out[-1][2] else []) + [pair]])
         elif loop and columns:
             found = values(line)
-            if not pending and len(found) == len(columns):
+            if len(found) == len(columns):  # a whole row; what was pending before it was cut
                 rows.append(found)
+                pending = []
                 continue
             pending += found
             if len(pending) == len(columns):
