@@ -91,30 +91,38 @@ def _split_header(text: str) -> tuple[str, str]:
     return (text[: at.start()], text[at.end() :]) if at else (text, "")
 
 
-def text_parts(text: str, depth: int = 0) -> list[str]:
-    """The decoded text parts of a mail or of a part of it, in order; parts with a file name are attachments."""
-    header, body = _split_header(text)
-    fields = {m[1].lower(): m[2] for m in _FIELD.finditer(header)}
-    kind = fields.get("content-type", "text/plain")
-    low = kind.lower()
-    boundary = _BOUNDARY.search(kind)
-    if boundary and depth < 8:
-        mark = "--" + (boundary[1] or boundary[2] or "").strip()
-        parts = re.split(r"^" + re.escape(mark) + r"(?:--)?[ \t]*$", body, flags=re.M)
-        closed = re.search(r"^" + re.escape(mark) + r"--[ \t]*$", body, flags=re.M)
-        wanted = parts[1:] if not closed else parts[1 : len(parts) - 1] or parts[1:]
-        return [t for p in wanted for t in text_parts(p[1:] if p.startswith("\n") else p, depth + 1)]
-    if not header and text.startswith("--") and depth == 0:  # the header is gone, the parts are there
-        mark = text.split("\n", 1)[0].strip()
-        if len(mark) > 4:
-            return [t for p in re.split(r"^" + re.escape(mark) + r"(?:--)?[ \t]*$", text, flags=re.M)[1:] for t in text_parts(p[1:] if p.startswith("\n") else p, depth + 1)]
-    if not low.lstrip().startswith("text/") or "name=" in low or fields.get("content-disposition", "").lower().startswith("attachment"):
-        return []
-    charset = _CHARSET.search(kind)
-    out = _decoded(body, fields.get("content-transfer-encoding", "").strip().lower(), charset[1] if charset else "").replace("\r\n", "\n")
-    if "html" in low:
-        out = html.unescape(_TAG.sub("", _BLOCK.sub("\n\n", out)))
-    return [repaired(out)]
+def text_parts(text: str) -> list[str]:
+    """The decoded text parts of a mail, in order and however deep they are nested; parts with a file name are attachments."""
+    out: list[str] = []
+    stack = [(text, True)]
+    while stack:
+        text, whole = stack.pop()
+        header, body = _split_header(text)
+        fields = {m[1].lower(): m[2] for m in _FIELD.finditer(header)}
+        kind = fields.get("content-type", "text/plain")
+        low = kind.lower()
+        boundary = _BOUNDARY.search(kind)
+        inner = None
+        if boundary:
+            mark = "--" + (boundary[1] or boundary[2] or "").strip()
+            parts = re.split(r"^" + re.escape(mark) + r"(?:--)?[ \t]*$", body, flags=re.M)
+            closed = re.search(r"^" + re.escape(mark) + r"--[ \t]*$", body, flags=re.M)
+            inner = parts[1:] if not closed else parts[1 : len(parts) - 1] or parts[1:]
+        elif not header and text.startswith("--") and whole:  # the header is gone, the parts are there
+            mark = text.split("\n", 1)[0].strip()
+            if len(mark) > 4:
+                inner = re.split(r"^" + re.escape(mark) + r"(?:--)?[ \t]*$", text, flags=re.M)[1:]
+        if inner is not None:
+            stack += [(p[1:] if p.startswith("\n") else p, False) for p in reversed(inner)]
+            continue
+        if not low.lstrip().startswith("text/") or "name=" in low or fields.get("content-disposition", "").lower().startswith("attachment"):
+            continue
+        charset = _CHARSET.search(kind)
+        part = _decoded(body, fields.get("content-transfer-encoding", "").strip().lower(), charset[1] if charset else "").replace("\r\n", "\n")
+        if "html" in low:
+            part = html.unescape(_TAG.sub("", _BLOCK.sub("\n\n", part)))
+        out.append(repaired(part))
+    return out
 
 
 def _flows(part: str) -> list[list[str]]:
