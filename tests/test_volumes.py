@@ -294,3 +294,36 @@ def test_tomogram_in_slabs(spark, tmp_path):
 def test_rows_as_json(spark, tmp_path):
     pipelines.write_rows_json(spark.createDataFrame([(1, 2, b"x"), (2, 1, b"y")], "tag int, ref int, data binary"), str(tmp_path / "j"))
     assert sorted(p.name for p in (tmp_path / "j").glob("ref=*")) == ["ref=1", "ref=2"] and spark.read.json(str(tmp_path / "j")).count() == 2
+
+
+@pytest.mark.parametrize("direct", [v.DIRECT, 0])
+def test_shifts_wider_than_the_box_do_not_go_around(monkeypatch, direct):
+    monkeypatch.setattr(v, "DIRECT", direct)
+    rng = np.random.default_rng(9)
+    reference, particles = rng.random((3, 4, 4)).astype(np.float32), list(rng.random((4, 3, 4, 4)).astype(np.float32))
+    search = v.Search(90, 30, 90, 30, 3, subpixel=False)
+    turns = [v.turned(reference, v.rotation(*a)) for a in v.angle_list(90, 30, 90, 30)]
+    for p, pose in zip(particles, v.align_many(particles, reference, search)):
+        assert pose[6] == pytest.approx(max(v.ncc(p, v.shifted(t, s)) for t in turns for s in v.shift_list(3)))
+        assert pose[6] == pytest.approx(v.ncc(p, v.posed(reference, pose[:6])), abs=1e-5)
+
+
+def test_queries_search_all_poses_and_shapes(spark, tmp_path, monkeypatch):
+    import datetime
+
+    from tomoframe.plans import vector_queries
+
+    b = brick(12)
+    far = v.angle_list(360, 30, 360, 30)[400] + (2.0, 0.0, -2.0)
+    boxes = [b] * 9 + [v.posed(b, far), b[:10], b[:10]]
+    at = datetime.datetime(2024, 1, 1)
+    rows = [(f"p{i:02d}", *x.shape, x.astype("<f4").tobytes(), at) for i, x in enumerate(boxes)]
+    spark.createDataFrame(rows, "path string, nz int, ny int, nx int, data binary, created_at timestamp").write.parquet(str(tmp_path / "tomo_volumes.parquet"))
+    got = {r.path: r for r in vector_queries.align_volumes(spark, str(tmp_path)).collect()}
+    assert len(got) == 12 and not any(r.error for r in got.values())
+    assert got["p09"].cc > 0.8 and [got[p].ref for p in ("p00", "p09", "p10")] == [1, 1, 2] and got["p10"].cc == pytest.approx(1, abs=1e-4)
+    rounds, real = [], ops.aligned
+    monkeypatch.setattr(ops, "aligned", lambda *a, **k: (rounds.append(1), real(*a, **k))[1])
+    classes = {r.path: r for r in vector_queries.classify_volumes(spark, str(tmp_path)).collect()}
+    assert len(rounds) == 3 and len(classes) == 12 and not any(r.error for r in classes.values())
+    assert {classes[p].ref for p in ("p10", "p11")} <= {3, 4}

@@ -69,14 +69,18 @@ def reconstruct(rows: DataFrame, symmetry: str | None = None, wedge: bool = Fals
 
 
 def split_references(rows: DataFrame) -> dict[int, np.ndarray]:
-    """Two references to begin with: the means of the volumes whose own mean is above and not above that of all."""
+    """Two references to begin with for each shape: the means of the volumes whose own mean is above and not above that of all.
+    The most frequent shape has 1 and 2, the next one 3 and 4; a half without volumes has no reference."""
     sizes = ops.statistics(rows, ["nz", "ny", "nx", "data"])
     level = sizes.agg(F.avg("mean")).first()[0]
     if level is None:
         return {}
-    means = ops.volume_means(sizes.withColumn("ref", F.when(F.col("mean") > level, 1).otherwise(2)), ["ref"]).orderBy("ref", F.desc("n")).collect()
-    shape = max(((m["nz"], m["ny"], m["nx"]) for m in means), key=lambda s: sum(m["n"] for m in means if (m["nz"], m["ny"], m["nx"]) == s))
-    return {m["ref"]: ops.box(m) for m in means if (m["nz"], m["ny"], m["nx"]) == shape}
+    means = ops.volume_means(sizes.withColumn("ref", F.when(F.col("mean") > level, 1).otherwise(2)), ["ref"]).collect()
+    counts: dict[tuple, int] = {}
+    for m in means:
+        counts[m["nz"], m["ny"], m["nx"]] = counts.get((m["nz"], m["ny"], m["nx"]), 0) + m["n"]
+    order = sorted(counts, key=lambda shape: (-counts[shape], shape))
+    return {2 * order.index((m["nz"], m["ny"], m["nx"])) + m["ref"]: ops.box(m) for m in sorted(means, key=lambda m: m["ref"])}
 
 
 @dataclass(frozen=True)

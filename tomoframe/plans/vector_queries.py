@@ -199,29 +199,30 @@ def _keyed(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "tomo_volumes").select("path", "created_at", "nz", "ny", "nx", "data")
 
 
-def _reference(rows: DataFrame) -> dict[int, np.ndarray]:
-    """The mean volume of the most frequent shape."""
-    best = ops.volume_means(rows, []).orderBy(F.desc("n"), "nz", "ny", "nx").first()
-    return {1: ops.box(best)} if best else {}
+def _references(rows: DataFrame) -> dict[int, np.ndarray]:
+    """The mean volume of each shape, numbered from the most frequent shape on."""
+    return {k: ops.box(m) for k, m in enumerate(ops.volume_means(rows, []).orderBy(F.desc("n"), "nz", "ny", "nx").collect(), 1)}
 
 
-_SEARCH = v.Search(cone=60, cone_step=30, inplane=60, inplane_step=30, shift=1, subpixel=False)
+#: All orientations and the operator's own shifts.
+_SEARCH = v.Search()
 
 
 @query()
 def align_volumes(spark: SparkSession, d: str) -> DataFrame:
-    """Every stored volume aligned to the mean volume; what can't be aligned has the reason."""
+    """Every stored volume aligned to the mean volume of its shape; what can't be aligned has the reason."""
     rows = _keyed(spark, d)
-    return ops.aligned(rows, _reference(rows), _SEARCH, ["path", "created_at"]).drop("data", "nz", "ny", "nx")
+    return ops.aligned(rows, _references(rows), _SEARCH, ["path", "created_at"]).drop("data", "nz", "ny", "nx")
 
 
 @query()
 def classify_volumes(spark: SparkSession, d: str) -> DataFrame:
-    """Two rounds of alignment against two references, which are the means of the volumes above and below the mean level."""
+    """Three rounds of alignment against two references for each shape, which are the means of the volumes above and below
+    the mean level."""
     from tomoframe.plans.pipelines import classify, split_references
 
     rows = _keyed(spark, d)
-    last = classify(rows, split_references(rows), _SEARCH, ["path", "created_at"], iterations=2)
+    last = classify(rows, split_references(rows), _SEARCH, ["path", "created_at"], iterations=3)
     return last.rows.drop("data", "nz", "ny", "nx")
 
 
