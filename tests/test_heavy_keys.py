@@ -3,6 +3,7 @@ from __future__ import annotations
 import math
 
 from tomoframe.operators import heavy_keys as h
+from tomoframe.plans.data_work import p3_found
 
 ROWS = "tomo bigint, ref bigint, cc double, tdrot double, extra string"
 
@@ -27,3 +28,14 @@ def test_empty(spark):
     right = spark.createDataFrame([], "tomo bigint")
     joined = h.join_states(h.states(left, ["tomo", "ref"], ["cc"]), h.states(right, ["tomo"], []), "tomo")
     assert h.rolled_up(joined, ["tomo", "ref"], ["cc"]).count() == 0
+
+
+def test_heavy_counts_null_keys_in_the_total_and_keeps_the_join(spark, data):
+    left = spark.createDataFrame([(1, 1, 0.5, 10.0, "x")] * 3 + [(None, 1, 0.5, 1.0, "x")] * 97, ROWS)
+    right = spark.createDataFrame([(1,), (1,)], "tomo bigint")
+    joined = lambda l, r: h.join_states(h.states(l, ["tomo", "ref"], []), h.states(r, ["tomo"], []), "tomo")
+    assert sorted(map(tuple, h.heavy(joined(left, right), ["tomo", "ref"], 3).collect())) == [("ref", 1, 100, 3, 6), ("tomo", 1, 3, 3, 6)]
+    assert [r.field for r in h.heavy(joined(left, right), ["tomo", "ref"], 4).collect()] == ["ref"]
+    assert h.heavy(joined(left.limit(0), right), ["tomo", "ref"], 3).count() == 0
+    plan = p3_found(spark, data)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" in plan and "vll.parquet" in "".join(p3_found(spark, data).inputFiles())

@@ -3,6 +3,8 @@
 Both inputs of the join are first reduced to one compact state per join key, inside the tasks that read them, so that
 a key with a third of all rows leaves each task as one state. The states are joined, counts are multiplied and sums
 scaled by the other side's count, and the result is rolled up. No row of a heavy key is ever moved.
+
+Every count that comes out is one of the join: the rows of a key are those with a match and those without one.
 """
 
 from __future__ import annotations
@@ -32,8 +34,9 @@ def join_states(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
 
 
 def rolled_up(joined: DataFrame, fields: list[str], values: list[str], angles: list[str] = ()) -> DataFrame:
-    """States summed per value of each field, and turned into results: field, key_value, n_rows, n_matched (rows with a
-    match), n_pairs, mean_V per value V, mean_A (direction of the mean vector, degrees) and spread_A (its length) per angle.
+    """States summed per value of each field, and turned into results: field, key_value, n_matched and n_unmatched (rows with
+    and without a match), n_rows (both), n_pairs, mean_V per value V, mean_A (direction of the mean vector, degrees) and
+    spread_A (its length) per angle.
 
     A mean is null without values; mean_A also where the vectors cancel out. Null keys give no row.
     """
@@ -44,8 +47,8 @@ def rolled_up(joined: DataFrame, fields: list[str], values: list[str], angles: l
         .where("k.key_value is not null")
         .groupBy("k.field", "k.key_value")
         .agg(
-            F.sum("n").alias("n_rows"),
             F.sum(F.when(F.col("n_matches") > 0, F.col("n")).otherwise(0)).alias("n_matched"),
+            F.sum(F.when(F.col("n_matches") > 0, 0).otherwise(F.col("n"))).alias("n_unmatched"),
             F.sum("n_pairs").alias("n_pairs"),
             *(F.sum(c).alias(c) for c in sums),
         )
@@ -58,9 +61,11 @@ def rolled_up(joined: DataFrame, fields: list[str], values: list[str], angles: l
     for a in angles:
         some = F.col(f"n_{a}") > 0
         means += [F.when(some & (length(a) > 1e-6), F.degrees(F.atan2(f"sin_{a}", f"cos_{a}"))).alias(f"mean_{a}"), F.when(some, length(a)).alias(f"spread_{a}")]
-    return summed.select("field", "key_value", "n_rows", "n_matched", "n_pairs", *means)
+    return summed.select("field", "key_value", (F.col("n_matched") + F.col("n_unmatched")).alias("n_rows"), "n_matched", "n_unmatched", "n_pairs", *means)
 
 
-def heavy(results: DataFrame, n_rows: Column, percent: int) -> DataFrame:
-    """The keys that hold at least `percent` percent of `n_rows` rows."""
-    return results.where(F.col("n_rows") * 100 >= n_rows * percent)
+def heavy(joined: DataFrame, fields: list[str], percent: int) -> DataFrame:
+    """field, key_value, n_rows, n_matched, n_pairs of the keys that hold at least `percent` percent of all rows, those with null
+    keys included. The total is one sum over the same states. No rows give no keys."""
+    total = joined.agg(F.sum("n").alias("n")).scalar()
+    return rolled_up(joined, fields, []).where(F.col("n_rows") * 100 >= total * percent).select("field", "key_value", "n_rows", "n_matched", "n_pairs")
