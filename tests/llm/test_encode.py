@@ -70,3 +70,31 @@ def test_any_text_is_repaired_to_the_whole_encoding(pieces, sizes):
     chunks = [bytes(data[a:b]).decode() for a, b in zip(starts, np.append(starts[1:], len(data)))]
     assert "".join(chunks) == text
     assert joiner.joined([np.array(joiner.encode(c), np.int32) for c in chunks]).tolist() == joiner.encode(text)
+
+
+@pytest.mark.parametrize("chunks", [["x'", "l", "l b"], ["aa", "'l", "l b"], ["a ", "\n", "\nb", "c"], ["日", "本", "語", "。x", "y"], ["1", "2", "3", "4"]])
+def test_short_chunks(chunks):
+    joiner = _Joiner("byte_bpe_50k", tokenizers.FOLDER)
+    assert joiner.joined([np.array(joiner.encode(c), np.int32) for c in chunks]).tolist() == joiner.encode("".join(chunks))
+
+
+@pytest.mark.parametrize("unit", ["acgtgcta", "日本語文章", "ab12", "x y" + "z" * 3000])
+def test_unbroken_texts_take_linear_time(unit):
+    import time
+
+    joiner = _Joiner("byte_bpe_50k", tokenizers.FOLDER)
+
+    def took(size):
+        rng = random.Random(size)
+        text = "".join(rng.choice(unit) for _ in range(size)) if len(unit) < 100 else unit * (size // len(unit))
+        data = np.frombuffer(text.encode(), np.uint8)
+        starts = chunk_starts(data, np.array([0, len(data)]), 128, 8192)
+        pieces = [np.array(joiner.encode(bytes(data[a:b]).decode()), np.int32) for a, b in zip(starts, np.append(starts[1:], len(data)))]
+        began = time.process_time()
+        got = joiner.joined(pieces)
+        spent = time.process_time() - began
+        assert got.tolist() == joiner.encode(text)
+        return spent
+
+    small, large = took(200_000), took(1_600_000)
+    assert large < 8 * 2.5 * max(small, 0.02)

@@ -6,7 +6,8 @@ character stands before the join and a blank after it, since the tokenizer's pat
 other join is repaired: the text around it is encoded again, from the last pieces of the pattern that may change until both
 chunks' pieces agree, over as many chunks as it takes.
 
-A chunk that many texts of a batch share is spread over several tasks by the batch's number, and encoded in each.
+A chunk that many texts of a batch share is spread over several tasks by the batch's number, and encoded in each. Chunks
+travel with the number of their text only; the texts' ids come once each, as rows of their own before the chunks.
 """
 
 from __future__ import annotations
@@ -27,13 +28,20 @@ from tomoframe.session import spread
 MEAN_BYTES, MOST_BYTES = 128, 8192
 #: Texts are cut in slices of about so many bytes; a chunk in more than one of SHARE texts of a slice counts as hot.
 SLICE_BYTES, SHARE, SALTS = 1 << 21, 16, 64
+#: Places in a batch of encoded chunks.
+MOST_PLACES = 20_000
 #: Pieces of the tokenizer's pattern at the end of a text that text added to it can change: two, as in "'l" + "l", and one to spare.
 MAY_CHANGE = 3
 
-_CHUNKS = pa.schema([("chunk", pa.binary()), ("salt", pa.int32()), ("rids", pa.list_(pa.int64())), ("doc_ids", pa.list_(pa.int64())), ("seqs", pa.list_(pa.int32()))])
-_CHUNKS_DDL = "chunk binary, salt int, rids array<bigint>, doc_ids array<bigint>, seqs array<int>"
-_PLACED = pa.schema([("rid", pa.int64()), ("doc_id", pa.int64()), ("seq", pa.int32()), ("ids", pa.binary())])
-_PLACED_DDL = "rid bigint, doc_id bigint, seq int, ids binary"
+#: A row of chunks with this salt holds the doc_ids of the texts at its places instead of a chunk.
+NAMES = -1
+
+_CHUNKS = pa.schema([("chunk", pa.binary()), ("salt", pa.int32()), ("places", pa.binary())])
+_CHUNKS_DDL = "chunk binary, salt int, places binary"
+_PLACED = pa.schema([("rid", pa.int64()), ("seq", pa.int32()), ("ids", pa.binary())])
+_PLACED_DDL = "rid bigint, seq int, ids binary"
+#: Where a chunk stands: which text, and as which of its chunks; the names of texts come before their chunks.
+_PLACE = np.dtype([("rid", "<i8"), ("seq", "<i4")])
 
 
 def _packed(spelled: list[bytes]) -> np.dtype:
@@ -41,6 +49,11 @@ def _packed(spelled: list[bytes]) -> np.dtype:
     return np.dtype("<u2" if len(spelled) <= 1 << 16 else "<u4")
 
 
+def _cut(values: np.ndarray, offsets: np.ndarray) -> pa.Array:
+    """Binaries of the bytes of values[offsets[i]:offsets[i+1]]."""
+    return pa.BinaryArray.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer((offsets * values.itemsize).astype(np.int32)), pa.py_buffer(values.tobytes())])
+
+
 def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
     sizes = pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False).astype(np.int64)
     group = (np.cumsum(sizes) - sizes) // SLICE_BYTES
@@ -74,19 +87,17 @@ def _chunked(mean: int, most: int):
                 owner, seq = np.append(owner, none), np.append(seq, np.zeros(len(none), np.int64))
                 order = np.argsort(code, kind="stable")
                 counts = np.bincount(code, minlength=len(coded.dictionary))
-                lists = pa.array(np.append(0, np.cumsum(counts)).astype(np.int32))
-                owner = pa.array(owner[order])
+                rids = part.column("rid").to_numpy()
+                places = np.empty(len(order), _PLACE)
+                places["rid"], places["seq"] = rids[owner[order]], seq[order]
                 salt = np.where(counts > max(4, len(texts) // SHARE), n_slices % SALTS, 0)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        coded.dictionary.cast(pa.binary()),
-                        pa.array(salt, pa.int32()),
-                        pa.ListArray.from_arrays(lists, part.column("rid").take(owner)),
-                        pa.ListArray.from_arrays(lists, part.column("doc_id").take(owner)),
-                        pa.ListArray.from_arrays(lists, pa.array(seq[order], pa.int32())),
-                    ],
-                    schema=_CHUNKS,
-                )
+                yield pa.RecordBatch.from_arrays([coded.dictionary.cast(pa.binary()), pa.array(salt, pa.int32()), _cut(places, np.append(0, np.cumsum(counts)))], schema=_CHUNKS)
+                named = np.empty(len(rids), _PLACE)
+                named["rid"], named["seq"] = rids, NAMES
+                known = part.column("doc_id").is_valid().to_numpy(zero_copy_only=False)
+                named = named[known]
+                names = pc.fill_null(part.column("doc_id"), 0).to_numpy()[known]
+                yield pa.RecordBatch.from_arrays([pa.array([names.astype("<i8").tobytes()], pa.binary()), pa.array([NAMES], pa.int32()), pa.array([named.tobytes()], pa.binary())], schema=_CHUNKS)
 
     return run
 
@@ -96,19 +107,33 @@ def _encoded(name: str, folder: str):
         encoding, spelled = tokenizers.byte_bpe(name, folder)
         encode, packed = encoding.encode_ordinary, _packed(spelled)
         last: tuple[bytes, bytes] = (b"", b"")
+        rids, seqs, spelled_out = [], [], []
+
+        def placed() -> pa.RecordBatch:
+            columns = [pa.array(np.concatenate(c) if c else [], t) for c, t in ((rids, pa.int64()), (seqs, pa.int32()))]
+            out = pa.RecordBatch.from_arrays([*columns, pa.array(spelled_out, pa.binary())], schema=_PLACED)
+            for c in (rids, seqs, spelled_out):
+                c.clear()
+            return out
+
         for batch in batches:
             if not batch.num_rows:
                 continue
-            coded = batch.column("chunk").dictionary_encode()
-            ids = []
-            for chunk in coded.dictionary.to_pylist():
-                ids.append(last[1] if chunk == last[0] else np.array(encode(chunk.decode("utf-8", "replace")), packed).tobytes())
-                last = (chunk, ids[-1])
-            rows = np.repeat(coded.indices.to_numpy(zero_copy_only=False), pc.list_value_length(batch.column("rids")).to_numpy(zero_copy_only=False))
-            for k in range(0, len(rows), 20_000):  # a row with very many places must not make one huge batch
-                take = pa.array(rows[k : k + 20_000])
-                flat = [batch.column(c).flatten().slice(k, len(take)) for c in ("rids", "doc_ids", "seqs")]
-                yield pa.RecordBatch.from_arrays([*flat, pa.array(ids, pa.binary()).take(take)], schema=_PLACED)
+            for chunk, salt, places in zip(*(batch.column(c).to_pylist() for c in ("chunk", "salt", "places"))):
+                if salt == NAMES:
+                    ids = [chunk[i : i + 8] for i in range(0, len(chunk), 8)]
+                else:
+                    if chunk != last[0]:
+                        last = (chunk, np.array(encode(chunk.decode("utf-8", "replace")), packed).tobytes())
+                    ids = last[1]
+                at = np.frombuffer(places, _PLACE)
+                for k in range(0, len(at), MOST_PLACES):  # a row with very many places must not make one huge batch
+                    rids.append(at["rid"][k : k + MOST_PLACES])
+                    seqs.append(at["seq"][k : k + MOST_PLACES])
+                    spelled_out += ids[k : k + MOST_PLACES] if salt == NAMES else [ids] * len(rids[-1])
+                    if len(spelled_out) >= MOST_PLACES:
+                        yield placed()
+            yield placed()
 
     return run
 
@@ -142,46 +167,78 @@ class _Joiner:
     def joined(self, pieces: list[np.ndarray]) -> np.ndarray:
         """The ids of all pieces in order, each join repaired where the ids don't agree by themselves.
 
-        Text that is added can change the last pieces of the pattern before it, no others: from there the text is split and
-        encoded again, until it is split where the next chunk by itself is split as well.
+        Text that is added can change the last pieces of the pattern before it, no others: from there the text is split
+        again, until it is split where a chunk by itself is split as well. Where one piece of the pattern goes on over several
+        chunks they are gathered, each time twice as many, so that such a run is encoded once, in linear time.
         """
         done: list[int] = []
         recent = 0  # where in `done` the text since the last certain place begins
-        for piece in pieces:
-            right = piece.tolist()
+        i = 0
+        while i < len(pieces):
+            right = pieces[i].tolist()
             if not done or not right or self.agree(done[-1], right[0]):
                 recent = len(done)
                 done += right
+                i += 1
                 continue
-            before, after = self._text(done[recent:]), self._text(right)
+            before = self._text(done[recent:])
             starts = [m.start() for m in self.pattern.finditer(before)]
             before = before[starts[-MAY_CHANGE] if len(starts) >= MAY_CHANGE else 0 :]
-            first = len(done) - self._count(done[:recent:-1] + [done[recent]], len(before.encode()))
-            size = len(before)
-            own = {size + m.start() for m in self.pattern.finditer(after)}
-            again, place = [], len(before) + len(after)
-            for m in self.pattern.finditer(before + after):
-                if m.start() in own:
-                    place = m.start()
-                    break
-                again += self.encode(m.group())
-            kept = self._count(right, len(after[: place - size].encode()))
+            first = self._first(done, recent, len(before.encode()))
+            n_more, texts, found = 1, [], None
+            while found is None:
+                texts += [self._text(p.tolist()) for p in pieces[i + len(texts) : i + n_more]]
+                found = self._agreed(before, texts, i + n_more >= len(pieces))
+                n_more *= 2
+            again, k, within = found
             del done[first:]
-            done += again
-            recent = first if kept == len(right) else len(done)
-            done += right[kept:]
+            for split in again:
+                done += self.encode(split)
+            done += pieces[i + k].tolist()[self._count(pieces[i + k].tolist(), len(texts[k][:within].encode())) :]
+            recent = first  # what lies before it, no text after it can change
+            i += k + 1
         return np.array(done, np.int32)
 
+    def _first(self, done: list[int], recent: int, n_bytes: int) -> int:
+        """Which of the ids from `recent` on is the first one of the last `n_bytes` bytes."""
+        first = len(done)
+        while n_bytes > 0 and first > recent:
+            first -= 1
+            n_bytes -= len(self.spelled[done[first]])
+        return first
+
+    def _agreed(self, before: str, texts: list[str], last: bool) -> tuple[list[str], int, int] | None:
+        """Splits `before` and the texts of chunks as one text up to the first place at which one of these texts by itself is
+        split too: the pieces up to there, which chunk it is, and how far in. Without such a place everything if these are the
+        `last` chunks, else None."""
+        ends = np.cumsum([len(before), *map(len, texts)]).tolist()
+        k, own = 0, {ends[0] + m.start() for m in self.pattern.finditer(texts[0])}
+        out = []
+        for m in self.pattern.finditer(before + "".join(texts)):
+            while m.start() >= ends[k + 1]:
+                k += 1
+                own = {ends[k] + x.start() for x in self.pattern.finditer(texts[k])}
+            if m.start() in own:
+                return out, k, m.start() - ends[k]
+            out.append(m.group())
+        return (out, len(texts) - 1, len(texts[-1])) if last else None
+
 
 def _assembled(name: str, folder: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         joiner = _Joiner(name, folder)
-        rid, doc_id, held = None, None, []  # the text that may go on in the next batch
+        rid, held = None, []  # the text that may go on in the next batch
+        names: dict[int, int] = {}  # of texts that are not finished
 
         def out(doc_ids: list, offsets: np.ndarray, ids: np.ndarray) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(doc_ids, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids, pa.int32()))], names=["doc_id", "ids"])
 
         for batch in batches:
+            named = batch.column("seq").to_numpy() == NAMES
+            if named.any():
+                own = batch.filter(pa.array(named))
+                names |= zip(own.column("rid").to_pylist(), (int.from_bytes(x, "little", signed=True) for x in own.column("ids").to_pylist()))
+                batch = batch.filter(pa.array(~named))
             n = batch.num_rows
             if not n:
                 continue
@@ -200,27 +257,29 @@ def _assembled(name: str, folder: str):
             ends = np.append(begins[1:], n)
             piece = lambda k, ids=ids, offsets=offsets: ids[offsets[k] : offsets[k + 1]]
             doc_ids, sizes, parts = [], [], []
-            names = batch.column("doc_id").to_pylist()
+
+            def done(of: int, whole: np.ndarray, doc_ids=doc_ids, sizes=sizes, parts=parts) -> None:
+                doc_ids.append(names.pop(of, None))
+                sizes.append(len(whole))
+                parts.append(whole)
+
             for t, (b, e) in enumerate(zip(begins.tolist(), ends.tolist())):
                 going_on = t == 0 and rid is not None and rids[b] == rid
                 if t == 0 and rid is not None and not going_on:
-                    whole = joiner.joined(held)
-                    doc_ids.append(doc_id), sizes.append(len(whole)), parts.append(whole)
+                    done(rid, joiner.joined(held))
                 if going_on or e == n:
                     held = (held if going_on else []) + [piece(k) for k in range(b, e)]
-                    rid, doc_id = rids[b], names[b]
+                    rid = int(rids[b])
                     if e < n:  # it ended in this batch
-                        whole = joiner.joined(held)
-                        doc_ids.append(doc_id), sizes.append(len(whole)), parts.append(whole)
+                        done(rid, joiner.joined(held))
                         rid, held = None, []
                     continue
-                whole = joiner.joined([piece(k) for k in range(b, e)]) if t in repair else ids[offsets[b] : offsets[e]]
-                doc_ids.append(names[b]), sizes.append(len(whole)), parts.append(whole)
+                done(int(rids[b]), joiner.joined([piece(k) for k in range(b, e)]) if t in repair else ids[offsets[b] : offsets[e]])
             if doc_ids:
                 yield out(doc_ids, np.append(0, np.cumsum(sizes)), np.concatenate(parts))
         if rid is not None:
             whole = joiner.joined(held)
-            yield out([doc_id], np.array([0, len(whole)]), whole)
+            yield out([names.get(rid)], np.array([0, len(whole)]), whole)
 
     return run
 
@@ -232,7 +291,7 @@ def encoded(documents: DataFrame, tokenizer: str = "byte_bpe_50k", folder: str =
     two are not looked at. An empty table gives an empty one.
     """
     texts = documents.select(F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    chunks = spread(texts).mapInArrow(_chunked(mean, most), _CHUNKS_DDL).withColumn("hash", F.xxhash64("chunk"))
-    met = chunks.repartition("hash", "salt").sortWithinPartitions("hash", "chunk").drop("hash", "salt")
+    chunks = spread(texts).mapInArrow(_chunked(mean, most), _CHUNKS_DDL)
+    met = chunks.repartition("chunk", "salt").sortWithinPartitions(F.xxhash64("chunk"), "chunk")
     placed = met.mapInArrow(_encoded(tokenizer, folder), _PLACED_DDL)
     return placed.repartition("rid").sortWithinPartitions("rid", "seq").mapInArrow(_assembled(tokenizer, folder), "doc_id bigint, ids array<int>")
