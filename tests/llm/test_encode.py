@@ -72,7 +72,7 @@ def test_any_text_is_repaired_to_the_whole_encoding(pieces, sizes):
     assert joiner.joined([np.array(joiner.encode(c), np.int32) for c in chunks]).tolist() == joiner.encode(text)
 
 
-@pytest.mark.parametrize("chunks", [["x'", "l", "l b"], ["aa", "'l", "l b"], ["a ", "\n", "\nb", "c"], ["日", "本", "語", "。x", "y"], ["1", "2", "3", "4"]])
+@pytest.mark.parametrize("chunks", [["x'", "l", "l b"], ["aa", "'l", "l b"], ["a ", "\n", "\nb", "c"], ["日", "本", "語", "。x", "y"], ["1", "2", "3", "4"], ["\U0003d000'", "s"], ["\u1c89'", "s"], ["\u0378", "a'", "s"]])
 def test_short_chunks(chunks):
     joiner = _Joiner("byte_bpe_50k", tokenizers.FOLDER)
     assert joiner.joined([np.array(joiner.encode(c), np.int32) for c in chunks]).tolist() == joiner.encode("".join(chunks))

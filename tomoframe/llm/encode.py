@@ -12,6 +12,7 @@ travel with the number of their text only; the texts' ids come once each, as row
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,6 +29,8 @@ from tomoframe.session import spread
 MEAN_BYTES, MOST_BYTES = 128, 8192
 #: Texts are cut in slices of about so many bytes; a chunk in more than one of SHARE texts of a slice counts as hot.
 SLICE_BYTES, SHARE, SALTS = 1 << 21, 16, 64
+#: Stands for characters that are no letters to the tokenizer, when texts are split.
+UNASSIGNED = "\u0378"
 #: Places in a batch of encoded chunks.
 MOST_PLACES = 20_000
 #: Pieces of the tokenizer's pattern at the end of a text that text added to it can change: two, as in "'l" + "l", and one to spare.
@@ -107,33 +110,31 @@ def _encoded(name: str, folder: str):
         encoding, spelled = tokenizers.byte_bpe(name, folder)
         encode, packed = encoding.encode_ordinary, _packed(spelled)
         last: tuple[bytes, bytes] = (b"", b"")
-        rids, seqs, spelled_out = [], [], []
 
-        def placed() -> pa.RecordBatch:
-            columns = [pa.array(np.concatenate(c) if c else [], t) for c, t in ((rids, pa.int64()), (seqs, pa.int32()))]
-            out = pa.RecordBatch.from_arrays([*columns, pa.array(spelled_out, pa.binary())], schema=_PLACED)
-            for c in (rids, seqs, spelled_out):
-                c.clear()
-            return out
+        def placed(places: pa.Array, ids: pa.Array, rows: np.ndarray) -> Iterator[pa.RecordBatch]:
+            """The places of all rows with the ids of each; a row with very many places doesn't make one huge batch."""
+            at = np.frombuffer(b"".join(places.to_pylist()), _PLACE)
+            for k in range(0, len(at), MOST_PLACES):
+                part = at[k : k + MOST_PLACES]
+                yield pa.RecordBatch.from_arrays([pa.array(part["rid"].copy()), pa.array(part["seq"].copy()), ids.take(pa.array(rows[k : k + MOST_PLACES]))], schema=_PLACED)
 
         for batch in batches:
+            named = pc.equal(batch.column("salt"), NAMES)
+            if pc.any(named).as_py():
+                names = batch.filter(named)
+                raw = b"".join(names.column("chunk").to_pylist())
+                ids = _cut(np.frombuffer(raw, "<i8"), np.arange(len(raw) // 8 + 1))
+                yield from placed(names.column("places"), ids, np.arange(len(ids)))
+                batch = batch.filter(pc.invert(named))
             if not batch.num_rows:
                 continue
-            for chunk, salt, places in zip(*(batch.column(c).to_pylist() for c in ("chunk", "salt", "places"))):
-                if salt == NAMES:
-                    ids = [chunk[i : i + 8] for i in range(0, len(chunk), 8)]
-                else:
-                    if chunk != last[0]:
-                        last = (chunk, np.array(encode(chunk.decode("utf-8", "replace")), packed).tobytes())
-                    ids = last[1]
-                at = np.frombuffer(places, _PLACE)
-                for k in range(0, len(at), MOST_PLACES):  # a row with very many places must not make one huge batch
-                    rids.append(at["rid"][k : k + MOST_PLACES])
-                    seqs.append(at["seq"][k : k + MOST_PLACES])
-                    spelled_out += ids[k : k + MOST_PLACES] if salt == NAMES else [ids] * len(rids[-1])
-                    if len(spelled_out) >= MOST_PLACES:
-                        yield placed()
-            yield placed()
+            ids = []
+            for chunk in batch.column("chunk").to_pylist():
+                if chunk != last[0]:
+                    last = (chunk, np.array(encode(chunk.decode("utf-8", "replace")), packed).tobytes())
+                ids.append(last[1])
+            n_places = pc.binary_length(batch.column("places")).to_numpy(zero_copy_only=False) // _PLACE.itemsize
+            yield from placed(batch.column("places"), pa.array(ids, pa.binary()), np.repeat(np.arange(len(ids)), n_places))
 
     return run
 
@@ -149,10 +150,22 @@ class _Joiner:
         last = np.array([s[-1] if s else 0 for s in self.spelled])
         self.blank_first = np.isin(first, (9, 10, 13, 32))
         self.visible_last = (last > 32) & (last < 127)
+        self.unknown: dict[str, str] = {}
 
     def agree(self, left: int, right: int) -> bool:
         return bool(self.visible_last[left] and self.blank_first[right])
 
+    def _spans(self, text: str) -> Iterator[tuple[int, int]]:
+        """Where the pattern splits a text. Characters that this Python doesn't know yet are letters only if they are to the
+        tokenizer, which shows in where it splits after them."""
+        unknown = [c for c in set(text) if unicodedata.category(c) == "Cn"]
+        for c in unknown:
+            if c not in self.unknown:
+                self.unknown[c] = c if self.encode(c + "'s")[-1:] == self.encode("'s") else UNASSIGNED
+        if unknown:
+            text = text.translate({ord(c): self.unknown[c] for c in unknown})
+        return (m.span() for m in self.pattern.finditer(text))
+
     def _text(self, ids: list[int]) -> str:
         return b"".join([self.spelled[t] for t in ids]).decode("utf-8", "replace")
 
@@ -182,7 +195,7 @@ class _Joiner:
                 i += 1
                 continue
             before = self._text(done[recent:])
-            starts = [m.start() for m in self.pattern.finditer(before)]
+            starts = [b for b, _ in self._spans(before)]
             before = before[starts[-MAY_CHANGE] if len(starts) >= MAY_CHANGE else 0 :]
             first = self._first(done, recent, len(before.encode()))
             n_more, texts, found = 1, [], None
@@ -212,15 +225,15 @@ class _Joiner:
         split too: the pieces up to there, which chunk it is, and how far in. Without such a place everything if these are the
         `last` chunks, else None."""
         ends = np.cumsum([len(before), *map(len, texts)]).tolist()
-        k, own = 0, {ends[0] + m.start() for m in self.pattern.finditer(texts[0])}
-        out = []
-        for m in self.pattern.finditer(before + "".join(texts)):
-            while m.start() >= ends[k + 1]:
+        k, own = 0, {ends[0] + b for b, _ in self._spans(texts[0])}
+        text, out = before + "".join(texts), []
+        for b, e in self._spans(text):
+            while b >= ends[k + 1]:
                 k += 1
-                own = {ends[k] + x.start() for x in self.pattern.finditer(texts[k])}
-            if m.start() in own:
-                return out, k, m.start() - ends[k]
-            out.append(m.group())
+                own = {ends[k] + x for x, _ in self._spans(texts[k])}
+            if b in own:
+                return out, k, b - ends[k]
+            out.append(text[b:e])
         return (out, len(texts) - 1, len(texts[-1])) if last else None
 
 
