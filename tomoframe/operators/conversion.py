@@ -70,7 +70,7 @@ def with_names(rows: DataFrame, tomograms: DataFrame) -> DataFrame:
     """rlnMicrographName and tomo_path by the nearest whole tomo from a list (tomo_id, rlnMicrographName, tomo_path); without
     one the name is the id cut to a whole, and the path null."""
     keyed = rows.withColumn("_tomo", whole("tomo"))
-    listed = broadcast_if_small(tomograms.select(F.col("tomo_id").alias("_tomo"), F.col("rlnMicrographName").alias("_name"), "tomo_path").dropDuplicates(["_tomo"]))
+    listed = broadcast_if_small(tomograms.select(F.col("tomo_id").alias("_tomo"), F.col("rlnMicrographName").alias("_name"), "tomo_path").dropDuplicates(["_tomo"]), cheap=True)
     spelled = F.when(F.abs(number("tomo")) < 9e18, number("tomo")).cast("bigint").cast("string")
     return keyed.join(listed, "_tomo", "left").withColumn("rlnMicrographName", F.coalesce("_name", spelled)).drop("_tomo", "_name")
 

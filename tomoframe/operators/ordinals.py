@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tomoframe.session import written
+from tomoframe.session import broadcast_if_small, written
 
 _PARTITION_BIT = 33
 
@@ -38,7 +38,8 @@ def cyclic_join(rows: DataFrame, row_order: list[str], items: DataFrame, item_or
     left, right = with_ordinal(rows, row_order, "ordinal"), with_ordinal(items, item_order, "_item")
     if not n_items:
         return left.join(right.drop("_item").limit(0), F.lit(False), "left")
-    paired = left.withColumn("_item", F.pmod("ordinal", F.lit(n_items))).join(right, "_item", "left").drop("_item")
+    # Few items take many rows each, so they are broadcast where their size allows it; many take few each.
+    paired = left.withColumn("_item", F.pmod("ordinal", F.lit(n_items))).join(broadcast_if_small(right, cheap=True), "_item", "left").drop("_item")
     if n_items <= n_rows:
         return paired
     alone = right.where(F.col("_item") >= n_rows).withColumnRenamed("_item", "ordinal")

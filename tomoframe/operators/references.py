@@ -116,7 +116,7 @@ def orphan_references(references: DataFrame, parents: DataFrame) -> DataFrame:
     orphans = merged.where("src_table is not null and not open")
     unsure = (
         merged.where("src_table is not null and open").alias("m")
-        .join(broadcast_if_small(ends).alias("e"), F.expr("m.key = e.key and m.pid > e.from_pid and (e.to_pid is null or m.pid <= e.to_pid)"), "left")
+        .join(broadcast_if_small(ends, cheap=True).alias("e"), F.expr("m.key = e.key and m.pid > e.from_pid and (e.to_pid is null or m.pid <= e.to_pid)"), "left")
         .select("m.pid", "m.key", "m.src_table", "m.row_key", "m.t", "m.n_keys", "m.open", *((F.col(f"m.{c}") + F.coalesce(f"e.{c}_before", F.lit(0))).alias(c) for c in COUNTS))
         .where("live <= 0")
     )

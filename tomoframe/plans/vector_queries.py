@@ -5,6 +5,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,7 +15,7 @@ from tomoframe.functions import volume as v
 from tomoframe.functions.columns import let
 from tomoframe.operators import volumes as ops
 from tomoframe.plans.registry import Registry, rounded
-from tomoframe.session import broadcast_if_small, table, written
+from tomoframe.session import BROADCAST_BYTES, broadcast_if_small, measured, table, written
 from tomoframe.sources.tables import optics, star_rows
 
 R = Registry()
@@ -34,14 +36,39 @@ def _means(rows: DataFrame, key: str) -> DataFrame:
     return by.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "x"))), lambda p: p["x"]).alias("m"))
 
 
-def _ncc(a: Column, b: Column) -> Column:
-    """Pearson correlation of two arrays; 0 if one is flat. Every intermediate array is computed once."""
+def _unit(x: Column) -> Column:
+    """An array without its mean, and its length as a vector. Every intermediate array is computed once."""
     total = lambda x: F.aggregate(x, F.lit(0.0), lambda s, y: s + y)
-    centred = lambda x: let(total(x) / F.size(x), lambda mu: F.transform(x, lambda y: y - mu))
-    power = lambda x: F.aggregate(x, F.lit(0.0), lambda s, y: s + y * y)
-    dot = lambda p, q: total(F.zip_with(p, q, lambda x, y: x * y))
-    score = lambda p, q: let(F.sqrt(power(p) * power(q)), lambda size: F.when(size < 1e-12, 0.0).otherwise(dot(p, q) / size))
-    return let(centred(a), lambda p: let(centred(b), lambda q: score(p, q)))
+    length = lambda p: F.sqrt(F.aggregate(p, F.lit(0.0), lambda s, y: s + y * y))
+    centred = let(total(x) / F.size(x), lambda mu: F.transform(x, lambda y: y - mu))
+    return let(centred, lambda p: F.struct(p.alias("p"), length(p).alias("size")))
+
+
+def _ncc(a: Column, b: Column) -> Column:
+    """Pearson correlation of two arrays given as their units; 0 if one is flat."""
+    dot = F.aggregate(F.zip_with(a["p"], b["p"], lambda x, y: x * y), F.lit(0.0), lambda s, y: s + y)
+    return let(a["size"] * b["size"], lambda size: F.when(size < 1e-12, 0.0).otherwise(dot / size))
+
+
+def _blocks(means: DataFrame) -> list[Column]:
+    """The references (ref, m) as arrays of (ref, u), u being the unit of m. Each array is a scalar of at most about
+    BROADCAST_BYTES; there is one unless the references have been measured to be larger."""
+    n = max(1, -(-2 * measured(means) // BROADCAST_BYTES))
+    units = means.select("ref", _unit(c("m")).alias("u"), F.pmod(F.xxhash64("ref"), F.lit(n)).alias("block"))
+    return [units.where(c("block") == k).agg(F.array_sort(F.collect_list(F.struct("ref", "u")))).scalar() for k in range(n)]
+
+
+def _with_best(rows: DataFrame, means: DataFrame) -> DataFrame:
+    """`rows` (e) with `best`: struct(cc, r) of the reference that is most like e, r being minus its number, so that the lowest
+    of equal ones wins; NaN never does. The references go to the rows, which aren't shuffled."""
+    blocks = _blocks(means)
+    for k, refs in enumerate(blocks):
+        cc = lambda r: let(F.round(_ncc(c("u"), r["u"]), 9), lambda x: F.when(~F.isnan(x), x))
+        found = F.array_max(F.transform("refs", lambda r: F.struct(cc(r).alias("cc"), (-r["ref"]).alias("r"))))
+        rows = rows.withColumns({"u": _unit(c("e")), "refs": refs}).withColumn("best", F.greatest("best", found) if k else found).drop("u", "refs")
+        if k + 1 < len(blocks):
+            rows = written(rows, "best")
+    return rows
 
 
 @query(f"SELECT pos, round(avg(x), 6) + 0.0 AS mean FROM {_LONG} GROUP BY 1")
@@ -91,23 +118,25 @@ l AS (SELECT vec_id, label, pos, CAST(x AS DOUBLE) AS x FROM {_LONG}), m AS (SEL
 s AS (SELECT vec_id, label, ref, coalesce(corr(x, m), 0) AS cc FROM l JOIN m USING (pos) GROUP BY 1, 2, 3)"""
 
 
-def _scores(spark: SparkSession, d: str) -> DataFrame:
-    rows = _doubles(spark, d)
-    refs = broadcast_if_small(_means(rows, "label").withColumnRenamed("label", "ref"))
-    return rows.crossJoin(refs).select("vec_id", "label", "ref", _ncc(c("e"), c("m")).alias("cc"))
+def _classes(rows: DataFrame) -> DataFrame:
+    """The mean of each class, as ref and m, written once."""
+    return written(_means(rows, "label").withColumnRenamed("label", "ref"), "means")
 
 
 @query(f"WITH {_SCORES} SELECT vec_id, ref, round(cc, 6) + 0.0 AS cc FROM s")
 def ncc_pairs(spark: SparkSession, d: str) -> DataFrame:
-    """The score of each vector against each class mean; the means are few and broadcast."""
-    return _scores(spark, d).select("vec_id", "ref", rounded(c("cc")).alias("cc"))
+    """The score of each vector against each class mean. The means come as arrays of a measured size, so that no row moves."""
+    rows = _doubles(spark, d)
+    scores = F.transform("refs", lambda r: F.struct(r["ref"].alias("ref"), _ncc(c("u"), r["u"]).alias("cc")))
+    pairs = [rows.select("vec_id", _unit(c("e")).alias("u"), refs.alias("refs")).select("vec_id", F.explode(scores).alias("s")) for refs in _blocks(_classes(rows))]
+    return reduce(DataFrame.unionByName, pairs).select("vec_id", "s.ref", rounded(c("s.cc")).alias("cc"))
 
 
 @query(f"WITH {_SCORES} SELECT vec_id, min(ref) AS ref, round(max(cc), 6) + 0.0 AS cc FROM (SELECT *, max(round(cc, 9)) OVER (PARTITION BY vec_id) AS best FROM s) WHERE round(cc, 9) = best GROUP BY 1")
 def mra_assign(spark: SparkSession, d: str) -> DataFrame:
     """The class whose mean a vector is most like; the lowest of equal ones."""
-    best = F.max(F.struct(F.round("cc", 9).alias("cc"), (-c("ref")).alias("r")))
-    return _scores(spark, d).groupBy("vec_id").agg(best.alias("b")).select("vec_id", (-c("b.r")).alias("ref"), rounded(c("b.cc")).alias("cc"))
+    rows = _doubles(spark, d)
+    return _with_best(rows, _classes(rows)).select("vec_id", (-c("best.r")).alias("ref"), rounded(c("best.cc")).alias("cc"))
 
 
 @query(f"""WITH {_SCORES}, n AS (SELECT min(ref) AS lo, max(ref) AS hi FROM m)
@@ -118,7 +147,7 @@ def assigned_ref_join(spark: SparkSession, d: str) -> DataFrame:
     refs = _means(rows, "label").withColumnRenamed("label", "ref")
     ends = rows.agg(F.min("label"), F.max("label")).first()
     own = rows.withColumn("ref", F.least(F.greatest(c("label") - 1, F.lit(ends[0])), F.lit(ends[1])))
-    return own.join(broadcast_if_small(refs), "ref").select("vec_id", "ref", rounded(_ncc(c("e"), c("m"))).alias("cc"))
+    return own.join(broadcast_if_small(refs), "ref").select("vec_id", "ref", rounded(_ncc(_unit(c("e")), _unit(c("m")))).alias("cc"))
 
 
 def _iteration(i: int) -> str:
@@ -130,13 +159,10 @@ m{i + 1} AS (SELECT ref, pos, coalesce(n.m, m{i}.m) AS m FROM m{i} LEFT JOIN (SE
 
 def _iterated(rows: DataFrame, first: DataFrame) -> DataFrame:
     """The means after three rounds begun with the classes of `first`."""
-    means = _means(first, "label").withColumnRenamed("label", "ref")
+    means = _classes(first)
     for _ in range(3):
-        means = written(means, "means")
-        scores = rows.crossJoin(broadcast_if_small(means)).select("vec_id", "e", "ref", _ncc(c("e"), c("m")).alias("cc"))
-        best = scores.groupBy("vec_id").agg(F.max(F.struct(F.round("cc", 9).alias("cc"), (-c("ref")).alias("r"))).alias("b")).select("vec_id", (-c("b.r")).alias("ref"))
-        new = _means(rows.join(best, "vec_id"), "ref").withColumnRenamed("m", "new")
-        means = means.join(new, "ref", "left").select("ref", F.coalesce("new", "m").alias("m"))
+        new = _means(_with_best(rows, means).select((-c("best.r")).alias("ref"), "e"), "ref").withColumnRenamed("m", "new")
+        means = written(means.join(new, "ref", "left").select("ref", F.coalesce("new", "m").alias("m")), "means")
     return means.select("ref", F.posexplode("m").alias("pos", "x")).select("ref", c("pos").cast("bigint").alias("pos"), rounded(c("x"), 5).alias("mean"))
 
 
