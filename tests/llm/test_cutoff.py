@@ -5,6 +5,7 @@ import random
 
 import pytest
 
+from tomoframe.llm import cutoff
 from tomoframe.llm.cutoff import keep_share
 
 SCHEMA = "tomo bigint, ref int, cc double, row_id bigint, keep_pct int, _pos string"
@@ -43,6 +44,12 @@ def test_random_sources_with_ties_and_a_hot_one(spark, seed):
     assert run(spark, rows) == brute(rows)
 
 
+def test_many_sources(spark, monkeypatch):
+    monkeypatch.setattr(cutoff, "BROADCAST_BYTES", 0)
+    rows = [(i % 7, i % 2, float(i % 13), i, 30, None) for i in range(400)]
+    assert run(spark, rows) == brute(rows)
+
+
 def test_repeated_rows_and_one_score_only(spark):
     rows = [(1, 1, 0.5, 7, 10, None)] * 30 + [(1, 2, 0.1, i, 50, None) for i in range(4)]
     assert run(spark, rows) == brute(rows)

@@ -48,13 +48,30 @@ def test_total(spark, tables):
     assert max(r.most_copies - r.max_repeats for r in full) == 0
 
 
-@pytest.mark.parametrize("rate, most", [(0.0, 3), (0.7, 4), (5.0, 3), (mixing.FULL, 2)])
-def test_poisson(rate, most):
-    steps = mixing.poisson_steps(rate, most)
-    assert len(steps) == most and all(a <= b for a, b in zip(steps, steps[1:]))
-    count = lambda u: sum(s <= u for s in steps)
-    mean = sum(count((i + 0.5) / 20_000) for i in range(20_000)) / 20_000
-    assert mean == pytest.approx({0.0: 0, 0.7: 0.699, 5.0: 2.83, mixing.FULL: 2}[rate], abs=0.02)
+@pytest.mark.parametrize("rate, most, mean", [(0.0, 3, 0), (0.7, 4, 0.699), (5.0, 3, 2.83), (3.0, 3, 2.328), (900.0, 900, 888.03), (2000.0, 10**9, 2000)])
+def test_poisson(rate, most, mean):
+    first, steps = mixing.poisson_steps(rate, most)
+    assert len(steps) <= min(most, 18 * rate**0.5 + 60) and all(a <= b for a, b in zip(steps, steps[1:]))
+    count = lambda u: first + int((steps <= u).sum())
+    got = sum(count((i + 0.5) / 20_000) for i in range(20_000)) / 20_000
+    assert got == pytest.approx(mean, abs=0.02 + 1e-4 * mean)
+    assert max(count(u) for u in (0.5, 1 - 2**-53)) <= most and mixing.drawn_tokens(rate, most, mixing.np.ones(2048)) == pytest.approx(2048 * mean, rel=2e-3, abs=1)
+
+
+def test_every_source_is_drawn(spark, tables):
+    """No source has the same count for all its rows, however scarce it is; without repetition rows are in or out."""
+    rows = mixing.mixed(*tables).groupBy("source", "doc_id").count().groupBy("source").agg(mixing.F.countDistinct("count").alias("n")).collect()
+    report = {r.source: r for r in mixing.shares(*tables).collect()}
+    assert {r.source for r in rows if r.n > 1} == {"a", "b", "c"}
+    assert all(0 < report[s].rate <= report[s].max_repeats for s in "abc") and max(report[s].rate / report[s].max_repeats for s in "abc") == 1
+    once = mixing.shares(tables[0], spark.createDataFrame([("a", 1.0, 1)], "source string, target_share double, max_repeats int")).first()
+    assert once.rate == 1 and once.most_copies == 1 and 0.5 < once.n_copies / once.n_docs < 0.75
+
+
+def test_many_sources_are_joined_in_parts(spark, tables, monkeypatch):
+    want = sorted(map(tuple, mixing.shares(*tables).collect()), key=str)
+    monkeypatch.setattr(mixing, "BROADCAST_BYTES", 0)
+    assert sorted(map(tuple, mixing.shares(*tables).collect()), key=str) == want
 
 
 def test_nothing(spark, tables):

@@ -2,7 +2,8 @@
 
 Rows are range-sorted by source and score, which spreads a source with very many rows over several partitions, and
 written with their position. Rows are counted per partition and source; the running sum of these counts says in which
-partition, and how far in, the row lies whose score is the cutoff. That exact row is then read.
+partition, and how far in, the row lies whose score is the cutoff. That exact row is then read. After the range sort no row is
+moved again, unless the cutoffs of all sources are too large to broadcast.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tomoframe.functions.columns import number
-from tomoframe.session import written
+from tomoframe.session import BROADCAST_BYTES, broadcast_if_small, measured, written
 
 #: monotonically_increasing_id has the partition above and the row within it below this bit.
 PARTITION_BIT = 33
@@ -48,16 +49,22 @@ def keep_share(scored: DataFrame, source: list[str], score: str, row_id: str, ke
 
     chunks = placed.groupBy(*source, "_part").agg(F.count(F.lit(1)).alias("n"), F.min("_pos").alias("first"), F.max("_pct").alias("_pct"))
     of_source = Window.partitionBy(*source)
-    chunks = (
+    chunks = written(
         chunks.withColumn("n_rows", F.sum("n").over(of_source))
         .withColumn("upto", F.sum("n").over(of_source.orderBy("_part").rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-        .withColumn("wanted", F.least("n_rows", F.greatest(F.lit(1), F.expr("(n_rows * _pct + 99) div 100"))))
+        .withColumn("wanted", F.least("n_rows", F.greatest(F.lit(1), F.expr("(n_rows * _pct + 99) div 100")))),
+        "chunks",
     )
     target = chunks.where("wanted <= upto and wanted > upto - n").select(*source, F.col("_pct").alias("keep_pct"), "n_rows", (F.col("first") + F.col("wanted") - (F.col("upto") - F.col("n")) - 1).alias("_pos"))
-    cutoffs = placed.select("_pos", "_score").join(target, "_pos").select(*source, "keep_pct", "n_rows", F.col("_score").alias("cutoff"))
-    # A join key with the partition keeps the rows of a large source apart.
-    per_chunk = chunks.select(*source, "_part").join(cutoffs, source)
-    kept = placed.select(*source, "_part", "_score", "_id").join(per_chunk, [*source, "_part"]).where("_score >= cutoff")
+    # One row for each source goes to the sorted rows, which stay where they are unless these are too many.
+    exact = placed.select("_pos", "_score").join(broadcast_if_small(target, cheap=True), "_pos")
+    cutoffs = written(exact.select(*source, "keep_pct", "n_rows", F.col("_score").alias("cutoff")), "cutoffs")
+    scores = placed.select(*source, "_part", "_score", "_id")
+    if measured(cutoffs) <= BROADCAST_BYTES:
+        kept = scores.join(F.broadcast(cutoffs), source)
+    else:  # a join key with the partition keeps the rows of a large source apart
+        kept = scores.join(chunks.select(*source, "_part").join(cutoffs, source), [*source, "_part"])
+    kept = kept.where("_score >= cutoff")
     rows = kept.select(*source, F.col("_score").alias(score), F.col("_id").alias(row_id))
     report = kept.groupBy(*source).agg(F.max("keep_pct").alias("keep_pct"), F.max("n_rows").alias("n_rows"), F.max("cutoff").alias("cutoff"), F.count(F.lit(1)).alias("n_kept"))
     return Kept(report, rows)

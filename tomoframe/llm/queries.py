@@ -16,7 +16,7 @@ from tomoframe.session import broadcast_if_small, table
 def _kept(spark: SparkSession, folder: str) -> Kept:
     targets = table(spark, folder, "keep_targets").groupBy(F.col("ref").cast("double").alias("ref")).agg(F.max("keep_pct").alias("keep_pct"))
     rows = table(spark, folder, "dynamo_tbl").select("row_id", whole("tomo").alias("tomo"), "ref", "cc")
-    scored = rows.join(broadcast_if_small(targets), "ref").withColumn("ref", F.col("ref").cast("int"))
+    scored = rows.join(broadcast_if_small(targets, cheap=True), "ref").withColumn("ref", F.col("ref").cast("int"))
     return keep_share(scored, ["tomo", "ref"], "cc", "row_id")
 
 
