@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tomoframe.functions.columns import number
-from tomoframe.session import BROADCAST_BYTES, broadcast_if_small, measured, written
+from tomoframe.session import BROADCAST_BYTES, measured, written
 
 #: monotonically_increasing_id has the partition above and the row within it below this bit.
 PARTITION_BIT = 33
@@ -49,18 +49,19 @@ def keep_share(scored: DataFrame, source: list[str], score: str, row_id: str, ke
 
     chunks = placed.groupBy(*source, "_part").agg(F.count(F.lit(1)).alias("n"), F.min("_pos").alias("first"), F.max("_pct").alias("_pct"))
     of_source = Window.partitionBy(*source)
-    chunks = written(
+    chunks = (
         chunks.withColumn("n_rows", F.sum("n").over(of_source))
         .withColumn("upto", F.sum("n").over(of_source.orderBy("_part").rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-        .withColumn("wanted", F.least("n_rows", F.greatest(F.lit(1), F.expr("(n_rows * _pct + 99) div 100")))),
-        "chunks",
+        .withColumn("wanted", F.least("n_rows", F.greatest(F.lit(1), F.expr("(n_rows * _pct + 99) div 100"))))
     )
     target = chunks.where("wanted <= upto and wanted > upto - n").select(*source, F.col("_pct").alias("keep_pct"), "n_rows", (F.col("first") + F.col("wanted") - (F.col("upto") - F.col("n")) - 1).alias("_pos"))
     # One row for each source goes to the sorted rows, which stay where they are unless these are too many.
-    exact = placed.select("_pos", "_score").join(broadcast_if_small(target, cheap=True), "_pos")
-    cutoffs = written(exact.select(*source, "keep_pct", "n_rows", F.col("_score").alias("cutoff")), "cutoffs")
+    target = written(target, "target")
+    small = measured(target) <= BROADCAST_BYTES
+    exact = placed.select("_pos", "_score").join(F.broadcast(target) if small else target, "_pos")
+    cutoffs = exact.select(*source, "keep_pct", "n_rows", F.col("_score").alias("cutoff"))
     scores = placed.select(*source, "_part", "_score", "_id")
-    if measured(cutoffs) <= BROADCAST_BYTES:
+    if small:
         kept = scores.join(F.broadcast(cutoffs), source)
     else:  # a join key with the partition keeps the rows of a large source apart
         kept = scores.join(chunks.select(*source, "_part").join(cutoffs, source), [*source, "_part"])

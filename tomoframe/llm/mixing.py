@@ -106,7 +106,7 @@ def _fitted(wanted: float | None, whole: float):
 
 def rates(documents: DataFrame, targets: DataFrame, seed: int, total_tokens: float | None, tokenizer: str, folder: str) -> tuple[DataFrame, DataFrame]:
     """One row of _RATE per source of `targets`, and the sizes of the rows of these sources. See `mixed`."""
-    asked = written(targets.groupBy("source").agg(F.max("target_share").cast("double").alias("share"), F.max("max_repeats").cast("bigint").alias("most")).where("source is not null and share > 0 and most > 0"), "targets")
+    asked = targets.groupBy("source").agg(F.max("target_share").cast("double").alias("share"), F.max("max_repeats").cast("bigint").alias("most")).where("source is not null and share > 0 and most > 0")
     sized = _sized(documents, asked, seed, tokenizer, folder)
     sums = sized.groupBy("source", F.floor(F.col("u") * BINS).cast("int").alias("bin")).agg(F.sum("n_tokens").alias("t"), F.count(F.lit(1)).alias("n"))
     sums = written(asked.join(sums, "source", "left"), "sums")
