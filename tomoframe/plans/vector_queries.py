@@ -30,10 +30,14 @@ def _doubles(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "embeddings").select("vec_id", c("label").cast("bigint").alias("label"), F.transform("embedding", lambda x: x.cast("double")).alias("e"))
 
 
-def _means(rows: DataFrame, key: str) -> DataFrame:
-    """The mean vector of each key, as `m`: averaged by position, with one partial sum per task, key and position."""
-    by = rows.select(key, F.posexplode("e").alias("pos", "x")).groupBy(key, "pos").agg(F.avg("x").alias("x"))
-    return by.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "x"))), lambda p: p["x"]).alias("m"))
+def _means(rows: DataFrame, key: str, old: DataFrame | None = None) -> DataFrame:
+    """The mean vector of each key, as `m`: averaged by position, with one partial sum per task, key and position. Keys of
+    `old` (key, m) without rows keep their old mean, other keys of `rows` than these don't occur."""
+    by = rows.select(key, F.posexplode("e").alias("pos", "x")).groupBy(key, "pos").agg(F.avg("x").alias("x")).select(key, F.struct("pos", "x").alias("v"), F.lit(None).cast("array<double>").alias("m"))
+    if old is not None:
+        by = by.unionByName(old.select(key, F.lit(None).cast("struct<pos:int,x:double>").alias("v"), "m"))
+    of_key = by.groupBy(key).agg(F.array_sort(F.collect_list("v")).alias("v"), F.first("m", ignorenulls=True).alias("m"))
+    return of_key.select(key, F.when(F.size("v") > 0, F.transform("v", lambda p: p["x"])).otherwise(c("m")).alias("m"))
 
 
 def _unit(x: Column) -> Column:
@@ -50,22 +54,31 @@ def _ncc(a: Column, b: Column) -> Column:
     return let(a["size"] * b["size"], lambda size: F.when(size < 1e-12, 0.0).otherwise(dot / size))
 
 
-def _blocks(means: DataFrame) -> list[Column]:
-    """The references (ref, m) as arrays of (ref, u), u being the unit of m. Each array is a scalar of at most about
-    BROADCAST_BYTES; there is one unless the references have been measured to be larger."""
-    n = max(1, -(-2 * measured(means) // BROADCAST_BYTES))
+def _with_units(rows: DataFrame) -> DataFrame:
+    """`rows` with the unit of e as `u`. A generator makes it, so that it isn't computed again for every reference."""
+    return rows.withColumn("u", F.explode(F.array(_unit(c("e")))))
+
+
+def _n_blocks(means: DataFrame) -> int:
+    """In how many parts the references (ref, m) go to the rows, so that each has at most about BROADCAST_BYTES: one, unless
+    they have been measured to be larger."""
+    return max(1, -(-2 * measured(means) // BROADCAST_BYTES))
+
+
+def _blocks(means: DataFrame, n: int) -> list[Column]:
+    """The references as `n` arrays of (ref, u), u being the unit of m; each array is a scalar."""
     units = means.select("ref", _unit(c("m")).alias("u"), F.pmod(F.xxhash64("ref"), F.lit(n)).alias("block"))
     return [units.where(c("block") == k).agg(F.array_sort(F.collect_list(F.struct("ref", "u")))).scalar() for k in range(n)]
 
 
-def _with_best(rows: DataFrame, means: DataFrame) -> DataFrame:
+def _with_best(rows: DataFrame, means: DataFrame, n: int) -> DataFrame:
     """`rows` (e) with `best`: struct(cc, r) of the reference that is most like e, r being minus its number, so that the lowest
     of equal ones wins; NaN never does. The references go to the rows, which aren't shuffled."""
-    blocks = _blocks(means)
+    blocks = _blocks(means, n)
     for k, refs in enumerate(blocks):
         cc = lambda r: let(F.round(_ncc(c("u"), r["u"]), 9), lambda x: F.when(~F.isnan(x), x))
         found = F.array_max(F.transform("refs", lambda r: F.struct(cc(r).alias("cc"), (-r["ref"]).alias("r"))))
-        rows = rows.withColumns({"u": _unit(c("e")), "refs": refs}).withColumn("best", F.greatest("best", found) if k else found).drop("u", "refs")
+        rows = _with_units(rows).withColumn("refs", refs).withColumn("best", F.greatest("best", found) if k else found).drop("u", "refs")
         if k + 1 < len(blocks):
             rows = written(rows, "best")
     return rows
@@ -127,8 +140,9 @@ def _classes(rows: DataFrame) -> DataFrame:
 def ncc_pairs(spark: SparkSession, d: str) -> DataFrame:
     """The score of each vector against each class mean. The means come as arrays of a measured size, so that no row moves."""
     rows = _doubles(spark, d)
+    means = _classes(rows)
     scores = F.transform("refs", lambda r: F.struct(r["ref"].alias("ref"), _ncc(c("u"), r["u"]).alias("cc")))
-    pairs = [rows.select("vec_id", _unit(c("e")).alias("u"), refs.alias("refs")).select("vec_id", F.explode(scores).alias("s")) for refs in _blocks(_classes(rows))]
+    pairs = [_with_units(rows).select("vec_id", "u", refs.alias("refs")).select("vec_id", F.explode(scores).alias("s")) for refs in _blocks(means, _n_blocks(means))]
     return reduce(DataFrame.unionByName, pairs).select("vec_id", "s.ref", rounded(c("s.cc")).alias("cc"))
 
 
@@ -136,7 +150,8 @@ def ncc_pairs(spark: SparkSession, d: str) -> DataFrame:
 def mra_assign(spark: SparkSession, d: str) -> DataFrame:
     """The class whose mean a vector is most like; the lowest of equal ones."""
     rows = _doubles(spark, d)
-    return _with_best(rows, _classes(rows)).select("vec_id", (-c("best.r")).alias("ref"), rounded(c("best.cc")).alias("cc"))
+    means = _classes(rows)
+    return _with_best(rows, means, _n_blocks(means)).select("vec_id", (-c("best.r")).alias("ref"), rounded(c("best.cc")).alias("cc"))
 
 
 @query(f"""WITH {_SCORES}, n AS (SELECT min(ref) AS lo, max(ref) AS hi FROM m)
@@ -160,9 +175,10 @@ m{i + 1} AS (SELECT ref, pos, coalesce(n.m, m{i}.m) AS m FROM m{i} LEFT JOIN (SE
 def _iterated(rows: DataFrame, first: DataFrame) -> DataFrame:
     """The means after three rounds begun with the classes of `first`."""
     means = _classes(first)
+    n = _n_blocks(means)  # stays the same: a class without vectors keeps its mean
     for _ in range(3):
-        new = _means(_with_best(rows, means).select((-c("best.r")).alias("ref"), "e"), "ref").withColumnRenamed("m", "new")
-        means = written(means.join(new, "ref", "left").select("ref", F.coalesce("new", "m").alias("m")), "means")
+        own = _with_best(rows, means, n).select((-c("best.r")).alias("ref"), "e")
+        means = written(_means(own, "ref", means), "means")
     return means.select("ref", F.posexplode("m").alias("pos", "x")).select("ref", c("pos").cast("bigint").alias("pos"), rounded(c("x"), 5).alias("mean"))
 
 
