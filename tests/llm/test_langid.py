@@ -3,6 +3,7 @@ from __future__ import annotations
 import base64
 import quopri
 
+import numpy as np
 import pytest
 
 from tomoframe.llm import langid, mailtext
@@ -59,7 +60,7 @@ def model(spark, data):
 @pytest.mark.parametrize("text, code", [(EN, "en"), (DE, "de"), (DE_PLAIN, "de"), (RU, "ru"), (RU_LATIN, "ru"), (FR_ONE, "fr"), (FR_ONE.upper(), "fr"), ("Qxv zzrt plkw jjhg vvbn qqrs ttyx.", "und")])
 def test_languages_and_spellings(model, text, code):
     classifier = langid.Classifier(model)
-    flows = [mailtext._END.split(text)]
+    flows = [mailtext.split(text)]
     classes, sure = classifier.classify(flows[0])
     settled = langid._settled(flows, classes, sure, model.threshold)
     assert {langid.CLASSES[c] for c in settled} == {code}
@@ -77,21 +78,55 @@ def test_held_out_accuracy(spark, data, model):
             if (classes == classes[0]).all() and len(s) > 3:
                 right += langid.CLASSES[classes[0]] == r.code
                 n += 1
-    assert n > 100 and right / n > 0.85 and model.accuracy > 0.95
+    assert n > 100 and right / n > 0.85 and model.agreement > 0.8 and 0.5 < model.threshold < 1
 
 
-def test_passages(spark, monkeypatch, model):
-    monkeypatch.setattr(langid, "fitted", lambda documents, n: documents.sparkSession.sparkContext.broadcast(model))
+def test_passages(spark, model):
     docs = [(1, mail(EN + "\n\n" + DE), "en", "x"), (2, mail(EN + " " + FR_ONE), "EN", "x"), (3, mail(DE), "de_AT", "x"), (4, None, "en", "x"), (5, "", None, "x"), (6, mail(DE), None, "x"), (None, mail(RU), "mul", "x")]
     df = spark.createDataFrame(docs, "doc_id bigint, text string, lang string, passage_lang string")
-    got = sorted(((r.doc_id, r.declared, r.passage_lang, r.n_sentences) for r in langid.passages(df).collect()), key=str)
+    got = sorted(((r.doc_id, r.declared, r.passage_lang, r.n_sentences) for r in langid.passages(df, model=model).collect()), key=str)
     assert got == sorted([(1, "en", "en", 2), (1, "en", "de", 2), (2, "en", "en", 2), (3, "de", "de", 2), (6, None, "de", 2), (None, None, "ru", 2)], key=str)
-    whole = {r.doc_id: r.language for r in langid.languages(df).collect()}
+    whole = {r.doc_id: r.language for r in langid.languages(df, model=model).collect()}
     assert whole[2] == "en" and whole[3] == "de" and whole[4] == "und" and whole[5] == "und"
-    assert langid.passages(df.limit(0)).count() == 0
+    assert langid.passages(df.limit(0), model=model).count() == 0
 
 
 @pytest.mark.parametrize("label, code", [("EN", "en"), (" pt_BR ", "pt"), ("Japanese", "ja"), ("swe", "sv"), ("und", None), ("", None), ("mul", None), (None, None), ("da", None)])
 def test_labels(spark, label, code):
     df = spark.createDataFrame([(label,)], "lang string")
     assert df.select(langid.declared(langid.F.col("lang"))).first()[0] == code
+
+
+def test_texts_without_full_stops_have_a_language(spark, model):
+    bare = [t.replace(".", "").replace(",", "") for t in (DE, EN, RU, FR_ONE)]
+    docs = [(i, mail("Hello all,\n\n" + t), None) for i, t in enumerate(bare)] + [(9, mail("https://files.lab.example/the/new/file/for/users\nOK\n+1"), "en")]
+    df = spark.createDataFrame(docs, "doc_id bigint, text string, lang string")
+    assert [r.language for r in sorted(langid.languages(df, model=model).collect(), key=lambda r: r.doc_id)] == ["de", "en", "ru", "fr", "und"]
+
+
+def test_short_sentences_neither_break_nor_begin_a_passage(spark, model):
+    one, two = DE.split(". ")[0] + ".", DE.split(". ")[1]
+    docs = [(1, mail(f"{one} Vielen Dank! {two}"), None), (2, mail(f"Hejsan Iruo! {one}"), None), (3, mail(f"{one}\n\nMfG.\n\n{FR_ONE}"), None)]
+    got = langid.passages(spark.createDataFrame(docs, "doc_id bigint, text string, lang string"), model=model).collect()
+    assert [(r.doc_id, r.passage_lang, r.n_sentences) for r in got] == [(1, "de", 3)]
+
+
+def test_lines_with_a_date_and_small_letters_are_text():
+    assert flat(mail("I met him on 2024-01-02 10:00 at home. He was well.")) == ["I met him on 2024-01-02 10:00 at home.", "He was well."]
+    assert flat(mail("On 2024-01-02 10:00, Neli wrote:\nHe is in. So am I.")) == ["He is in.", "So am I."]
+    assert flat(mail("the pump is loud. nobody came. why?")) == ["the pump is loud.", "nobody came.", "why?"]
+    assert flat(mail(":-)\n\n+1!")) == []
+
+
+def test_calibration():
+    """Scores of known sharpness and labels of which every tenth is wrong."""
+    rng = np.random.default_rng(3)
+    raw = rng.normal(0, 4, (40000, 12))
+    p = langid.softmax(raw / 2)
+    true = np.array([rng.choice(12, p=row) for row in p])
+    labels = np.where(rng.random(40000) < 0.1, (true + rng.integers(1, 12, 40000)) % 12, true)
+    temperature, wrong = langid.calibrated(raw, labels)
+    assert abs(temperature - 2) < 0.3 and abs(wrong - 0.1) < 0.03
+    sure, right = p.max(1), p.argmax(1) == true
+    at = langid.threshold_of(sure, 0.95)
+    assert abs(right[sure >= at].mean() - 0.95) < 0.02 and langid.threshold_of(np.array([0.2]), 0.95) > 1

@@ -3,8 +3,9 @@
 A sentence is the mean of the hashed embeddings of its words and their parts, and a linear softmax over it gives the
 language. The model is trained by stochastic gradient descent in numpy on a bounded sample of labelled documents. Labels
 are partly wrong: first two models are trained on a half of the sentences each and judge the labels of the other half.
-Confidence is calibrated on pieces of five to nine words of held-out sentences, which are harder than whole ones, and below a
-threshold found there a sentence has no language.
+Confidence is calibrated on held-out sentences against the labels as they stand: the temperature of the softmax and the share of wrong labels are what makes these labels most likely.
+Sentences that differ in digits, case or accents only count once, so that none is in training and held out. Below the lowest
+confidence at which all that is above it is expected to be right in PRECISION of the cases, a sentence has no language.
 
 Training runs on the driver over at most SAMPLE documents per language; everything else runs over all documents, each
 whole, in one pass without a shuffle.
@@ -14,6 +15,7 @@ from __future__ import annotations
 
 import unicodedata
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -23,7 +25,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tomoframe.llm.mailtext import sentences
+from tomoframe.llm.mailtext import sentences, unpunctuated
 from tomoframe.session import spread
 
 # The languages with the codes and English names they go by, and Cyrillic letters in Latin.
@@ -36,9 +38,13 @@ CYRILLIC = dict(zip("абвгдеёжзийклмнопрстуфхцчшщъы
 PLAIN = {"ß": "ss", "ł": "l", "ø": "o", "æ": "ae", "œ": "oe", "đ": "d", "ı": "i", "þ": "th"}
 
 #: Labelled documents per language in the training sample, sentences per language, and texts longer than this aren't drawn.
-SAMPLE, SENTENCES, LONGEST = 400, 800, 20_000
-BUCKETS, DIMENSION, EPOCHS, RATE, BATCH = 1 << 16, 16, 4, 1.2, 64
-#: Share of held-out pieces that must be right among those with at least the threshold's confidence.
+SAMPLE, SENTENCES, LONGEST = 400, 1200, 20_000
+BUCKETS, DIMENSION, RATE, BATCH = 1 << 16, 16, 1.2, 64
+#: Every sentence is shown EPOCHS times, few sentences more often, so that SHOWN are shown in all; to judge labels, a half as often.
+EPOCHS, SHOWN = 5, 25_000
+#: Share of the sentences that are held out, and how many of them per language are used at most.
+HELD, HELD_SENTENCES = 0.2, 600
+#: Expected share of right ones among sentences with at least the threshold's confidence.
 PRECISION = 0.998
 NONE = "und"
 CLASSES = [*LANGUAGES, NONE]
@@ -79,12 +85,14 @@ def parts(word: str) -> list[int]:
 
 @dataclass
 class Model:
-    """logits: of each bucket, for each class; divided by `temperature` for the confidence."""
+    """logits: of each bucket, for each class; divided by `temperature` for the confidence. `agreement` with the labels of
+    held-out sentences, of which `wrong_labels` are estimated to be wrong."""
 
     logits: np.ndarray
     temperature: float
     threshold: float
-    accuracy: float
+    agreement: float
+    wrong_labels: float
 
 
 class Classifier:
@@ -109,7 +117,7 @@ class Classifier:
         return at
 
     def classify(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Class of each sentence, that of NONE where it has fewer than three words, and the confidence."""
+        """Class of each sentence and the confidence: NONE and 0 where it has fewer than three words."""
         if len(self.known) > self.MOST_WORDS:
             self.known.clear()
         flat: list[int] = []
@@ -126,7 +134,7 @@ class Classifier:
         p = softmax(sums[:, :-1] / np.maximum(1, sums[:, -1:]) / self.model.temperature)
         best = p.argmax(1)
         sure = p[np.arange(len(p)), best]
-        return np.where(few, len(LANGUAGES), best), sure
+        return np.where(few, len(LANGUAGES), best), np.where(few, 0.0, sure)
 
 
 def softmax(x: np.ndarray) -> np.ndarray:
@@ -143,32 +151,35 @@ def _features(texts: list[str]) -> list[np.ndarray]:
             if w not in cache:
                 cache[w] = parts(w)
             ids += cache[w]
-        out.append(np.array(ids))
+        out.append(np.array(ids, np.int32))
     return out
 
 
-def _descend(features: list[np.ndarray], y: np.ndarray, epochs: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+def _descend(features: list[np.ndarray], y: np.ndarray, seed: int, part: float = 1.0) -> tuple[np.ndarray, np.ndarray]:
     """Embeddings and output weights by stochastic gradient descent with a falling rate."""
     rng = np.random.default_rng(seed)
     e = (rng.random((BUCKETS, DIMENSION), np.float32) - 0.5) / DIMENSION
     w = np.zeros((DIMENSION, len(CLASSES)), np.float32)
+    sizes = np.array([len(f) for f in features])
+    epochs = max(1, round(part * max(EPOCHS, -(-SHOWN // max(1, len(y))))))
     steps = epochs * -(-len(y) // BATCH)
     step = 0
     for _ in range(epochs):
         order = rng.permutation(len(y))
         for k in range(0, len(y), BATCH):
             rows = order[k : k + BATCH]
-            ids = np.concatenate([features[i] for i in rows])
-            sizes = np.array([len(features[i]) for i in rows])
-            h = np.add.reduceat(e[ids], np.cumsum(sizes) - sizes) / sizes[:, None]
+            used, at = np.unique(np.concatenate([features[i] for i in rows]), return_inverse=True)
+            # The share that each bucket has of each sentence, as a small dense matrix.
+            owner = np.repeat(np.arange(len(rows)), sizes[rows])
+            shares = np.bincount(owner * len(used) + at, minlength=len(rows) * len(used)).reshape(len(rows), -1)
+            shares = (shares / sizes[rows, None]).astype(np.float32)
+            h = shares @ e[used]
             g = softmax(h @ w)
             g[np.arange(len(rows)), y[rows]] -= 1
-            rate = RATE * (1 - step / steps)
-            into = (g @ w.T) / sizes[:, None]
-            w -= np.float32(rate) * (h.T @ g)
-            by = np.argsort(ids, kind="stable")
-            first = np.flatnonzero(np.append(True, np.diff(ids[by]) > 0))
-            e[ids[by][first]] -= np.float32(rate) * np.add.reduceat(np.repeat(into, sizes, 0)[by], first)
+            rate = np.float32(RATE * (1 - step / steps))
+            into = g @ w.T
+            w -= rate * (h.T @ g)
+            e[used] -= rate * (shares.T @ into)
             step += 1
     return e, w
 
@@ -177,57 +188,83 @@ def _scores(features: list[np.ndarray], logits: np.ndarray) -> np.ndarray:
     return np.stack([logits[f].mean(0) for f in features])
 
 
+def _noise(rng: np.random.Generator, n: int) -> list[str]:
+    """Sentences without sense, made of random letters; they stand for no language."""
+    letters = np.array(list("abcdefghijklmnopqrstuvwxyz"))
+    return [" ".join("".join(rng.choice(letters, rng.integers(2, 11))) for _ in range(rng.integers(4, 14))) for _ in range(n)]
+
+
+def calibrated(raw: np.ndarray, truth: np.ndarray) -> tuple[float, float]:
+    """The temperature of the scores, and the share of wrong labels, at which the labels are most likely; a wrong label is
+    taken to be any of the others."""
+    rows = np.arange(len(truth))
+
+    def loss(t: float, wrong: float) -> float:
+        p = softmax(raw / t)[rows, truth]
+        return float(-np.log((1 - wrong) * p + wrong * (1 - p) / (raw.shape[1] - 1) + 1e-12).sum())
+
+    return min(((t / 20, w / 200) for t in range(1, 61) for w in range(0, 61)), key=lambda x: loss(*x))
+
+
+def threshold_of(sure: np.ndarray, precision: float) -> float:
+    """The lowest confidence at which that of everything above it is `precision` on average; above 1 if there is none."""
+    order = np.sort(sure)[::-1]
+    good = np.cumsum(order) / np.arange(1, len(order) + 1) >= precision
+    return float(order[np.flatnonzero(good)[-1]]) if good.any() else 1.1
+
+
+def distinct(labelled: list[tuple[str, str]]) -> dict[str, list[str]]:
+    """The sentences of each language, those that differ in digits, case or accents only once. One that stands under several
+    labels has the one that is at least twice as frequent as the next; without such a one it says nothing and is left out."""
+    labels: dict[str, Counter] = {}
+    first: dict[str, str] = {}
+    for text, lang in labelled:
+        form = _DIGITS.sub("0", " ".join(folded(text).split()))
+        labels.setdefault(form, Counter())[lang] += 1
+        first.setdefault(form, text)
+    by: dict[str, list[str]] = {c: [] for c in LANGUAGES}
+    for form, counts in labels.items():
+        (lang, n), *others = counts.most_common(2)
+        if not others or n >= 2 * others[0][1]:
+            by[lang].append(first[form])
+    return by
+
+
 def train(labelled: list[tuple[str, str]], seed: int = 1) -> Model:
-    """A model of (sentence, language) pairs of which part may be wrong. Sentences without sense, made of random letters, stand
-    for no language."""
+    """A model of (sentence, language) pairs of which part may be wrong."""
     rng = np.random.default_rng(seed)
-    by: dict[str, list[str]] = {c: [] for c in LANGUAGES}
-    for text, lang in labelled:
-        by[lang].append(text)
-    texts, y = [], []
+    by = distinct(labelled)
+    texts, y, held, truth = [], [], [], []
     for c, own in by.items():
-        own = [own[i] for i in rng.permutation(len(own))[:SENTENCES]]
-        texts += own
-        y += [CLASSES.index(c)] * len(own)
-    letters = np.array(list("abcdefghijklmnopqrstuvwxyz"))
-    noise = [" ".join("".join(rng.choice(letters, rng.integers(2, 11))) for _ in range(rng.integers(4, 14))) for _ in range(SENTENCES // 3)]
+        own = [own[i] for i in rng.permutation(len(own))]
+        n_held = min(HELD_SENTENCES, int(len(own) * HELD))
+        held += own[:n_held]
+        truth += [CLASSES.index(c)] * n_held
+        texts += own[n_held : n_held + SENTENCES]
+        y += [CLASSES.index(c)] * len(own[n_held : n_held + SENTENCES])
+    noise = _noise(rng, SENTENCES // 3)
     texts += noise
     y = np.array(y + [len(LANGUAGES)] * len(noise))
+    half = np.arange(len(y)) % 2
     features = _features(texts)
-    held = rng.random(len(y)) < 0.15
-    # Each half is judged by a model of the other half; sentences that differ in digits only are in one half.
-    half = np.array([zlib.crc32(_DIGITS.sub("0", t).encode()) % 2 for t in texts])
+    # Each half is judged by a model of the other half. A contradicted label is left out, or replaced where that model is sure.
     p = np.zeros((len(y), len(CLASSES)))
     for h in (0, 1):
-        rows = np.flatnonzero(half != h)
-        if len(rows) and (half == h).any():
-            e, w = _descend([features[i] for i in rows], y[rows], 3, seed)
-            p[half == h] = softmax(_scores([features[i] for i in np.flatnonzero(half == h)], e @ w) * 4)
-    # A contradicted label is left out, or replaced where the other half's model is sure.
+        e, w = _descend([features[i] for i in np.flatnonzero(half != h)], y[half != h], seed, 0.5)
+        p[half == h] = softmax(_scores([features[i] for i in np.flatnonzero(half == h)], e @ w) * 4)
     guess, sure = p.argmax(1), p.max(1)
-    kept = (guess == y) | (sure > 0.9)
-    y = np.where(kept, guess, y)
-    use = np.flatnonzero(kept & ~held)
-    e, w = _descend([features[i] for i in use], y[use], EPOCHS, seed + 1)
+    kept = np.flatnonzero((guess == y) | (sure > 0.9))
+    e, w = _descend([features[i] for i in kept], guess[kept], seed + 1)
     logits = (e @ w).astype(np.float32)
-    test = np.flatnonzero(kept & held)
-    if not len(test):
-        return Model(logits, 1.0, 0.5, 0.0)
-    pieces = []
-    for i in test:
-        words = texts[i].split() if " " in texts[i] else list(texts[i])
-        size = int(rng.integers(5, 10))
-        at = int(rng.integers(0, max(1, len(words) - size + 1)))
-        pieces.append((" " if " " in texts[i] else "").join(words[at : at + size]))
-    raw = _scores(_features(pieces), logits)
-    truth = y[test]
-    temperature = min((t / 20 for t in range(1, 61)), key=lambda t: -np.log(softmax(raw / t)[np.arange(len(test)), truth] + 1e-12).sum())
+    if not held:
+        return Model(logits, 1.0, 0.5, 0.0, 0.0)
+    unread = _noise(rng, len(held) // 12 + 1)
+    raw = _scores(_features(held + unread), logits)
+    truth = np.array(truth + [len(LANGUAGES)] * len(unread))
+    temperature, wrong = calibrated(raw, truth)
     p = softmax(raw / temperature)
-    right, sure = p.argmax(1) == truth, p.max(1)
-    order = np.argsort(-sure)
-    good = np.cumsum(right[order]) / np.arange(1, len(order) + 1) >= PRECISION
-    threshold = float(sure[order][np.flatnonzero(good)[-1]]) if good.any() else 0.99
-    return Model(logits, temperature, min(0.9, max(0.5, threshold)), float(right.mean()))
+    named = p.argmax(1) < len(LANGUAGES)
+    return Model(logits, temperature, threshold_of(p.max(1)[named], PRECISION), float((p.argmax(1) == truth).mean()), wrong)
 
 
 def sample(documents: DataFrame, per_language: int = SAMPLE) -> list[tuple[str, str]]:
@@ -247,15 +284,21 @@ ENOUGH = 0.5
 
 
 def _settled(flows: list[list[str]], classes: np.ndarray, sure: np.ndarray, threshold: float) -> np.ndarray:
-    """The classes, with NONE for sentences below the threshold that no neighbour in their flow supports."""
-    out = np.where(sure >= threshold, classes, len(LANGUAGES))
+    """The classes, with NONE for sentences below the threshold that no neighbour in their flow supports. Sentences of too
+    few words to tell take the class of those before and after them in their flow if it is the same."""
+    none = len(LANGUAGES)
+    out = np.where(sure >= threshold, classes, none)
     flow = np.repeat(np.arange(len(flows)), [len(f) for f in flows])
     for step in (1, -1):  # what a neighbour supports may support the next one
         order = range(len(out)) if step == 1 else range(len(out) - 1, -1, -1)
         for i in order:
             j = i - step
-            if out[i] == len(LANGUAGES) and sure[i] >= ENOUGH and 0 <= j < len(out) and flow[i] == flow[j] and classes[i] == out[j]:
+            if out[i] == none and sure[i] >= ENOUGH and 0 <= j < len(out) and flow[i] == flow[j] and classes[i] == out[j]:
                 out[i] = classes[i]
+    told = np.flatnonzero(sure > 0)
+    for a, b in zip(told[:-1].tolist(), told[1:].tolist()):
+        if b - a > 1 and out[a] == out[b] and flow[a] == flow[b]:
+            out[a + 1 : b] = out[a]
     return out
 
 
@@ -273,9 +316,9 @@ def _runs(flows: list[list[str]], classes: np.ndarray, sure: np.ndarray) -> Iter
         k += len(flow)
 
 
-def _documents(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[tuple[pa.RecordBatch, int, list]]:
+def _documents(batches: Iterator[pa.RecordBatch], classifier: Classifier) -> Iterator[tuple[pa.RecordBatch, int, list]]:
     """Each document's runs. Sentences of many documents are classified at once."""
-    classifier = Classifier(model)
+    model = classifier.model
     for batch in batches:
         texts = batch.column("text").to_pylist()
         for k in range(0, len(texts), 256):
@@ -297,7 +340,7 @@ def _passages(shared, shortest: int):
             doc, code, first, n, lang, sure = zip(*rows) if rows else [[]] * 6
             return pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(code, pa.string()), pa.array(first, pa.int32()), pa.array(n, pa.int32()), pa.array(lang, pa.string()), pa.array(sure, pa.float64())], names=["doc_id", "declared", "first_sentence", "n_sentences", "passage_lang", "confidence"])
 
-        for batch, i, runs in _documents(batches, shared.value):
+        for batch, i, runs in _documents(batches, Classifier(shared.value)):
             for first, n, c, sure, _ in runs:
                 if c < len(LANGUAGES) and n >= shortest:
                     rows.append((batch.column("doc_id")[i].as_py(), batch.column("declared")[i].as_py(), first, n, LANGUAGES[c], sure))
@@ -317,11 +360,19 @@ def _whole(shared):
             columns = zip(*rows) if rows else [[]] * 4
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.string(), pa.string(), pa.float64()))], names=["doc_id", "declared", "language", "confidence"])
 
-        for batch, i, runs in _documents(batches, shared.value):
+        classifier = Classifier(shared.value)
+        for batch, i, runs in _documents(batches, classifier):
             size, weight = np.zeros(len(CLASSES)), np.zeros(len(CLASSES))
             for _, _, c, sure, chars in runs:
                 size[c] += chars
                 weight[c] += sure * chars
+            text = batch.column("text")[i].as_py()
+            if not size[:-1].any() and text:  # no sentence tells: what stands there without a full stop
+                loose = unpunctuated(text)
+                for p, c, sure in zip(loose, *classifier.classify(loose)):
+                    c = c if sure >= shared.value.threshold else len(LANGUAGES)
+                    size[c] += len(p)
+                    weight[c] += sure * len(p)
             best = int(size[:-1].argmax())
             there = size[best] > 0
             rows.append((batch.column("doc_id")[i].as_py(), batch.column("declared")[i].as_py(), CLASSES[best] if there else NONE, weight[best] / size.sum() if there else 0.0))
@@ -333,24 +384,29 @@ def _whole(shared):
     return run
 
 
-def fitted(documents: DataFrame, per_language: int = SAMPLE):
-    """A model of `documents` (doc_id, text, lang), broadcast; its size is that of BUCKETS x classes."""
-    return documents.sparkSession.sparkContext.broadcast(train(sample(documents, per_language)))
+def fitted(documents: DataFrame, per_language: int = SAMPLE) -> Model:
+    """A model of `documents` (doc_id, text, lang), to be used for as many calls of `passages` and `languages` as wanted."""
+    return train(sample(documents, per_language))
+
+
+def _judged(documents: DataFrame, run, schema: str, model: Model | None, per_language: int) -> DataFrame:
+    """`run` over all documents with a model, which is broadcast; its size is that of BUCKETS x classes."""
+    shared = documents.sparkSession.sparkContext.broadcast(model or fitted(documents, per_language))
+    rows = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), declared(F.col("lang")).alias("declared"), "text")
+    return spread(rows).mapInArrow(run(shared), schema)
 
 
-def passages(documents: DataFrame, shortest: int = 2, per_language: int = SAMPLE) -> DataFrame:
+def passages(documents: DataFrame, shortest: int = 2, per_language: int = SAMPLE, model: Model | None = None) -> DataFrame:
     """doc_id, declared (code of the label or null), first_sentence, n_sentences, passage_lang, confidence of each run
     of at least `shortest` consecutive sentences in one language.
 
-    documents: doc_id BIGINT, text, lang. Null, empty and blank texts have no passages. Rows with equal ids are judged each.
+    documents: doc_id BIGINT, text, lang. Null, empty and blank texts have no passages, nor have texts without an end of a
+    sentence. Rows with equal ids are judged each. Without a `model` one is fitted to the documents.
     """
-    model = fitted(documents, per_language)
-    return spread(documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), declared(F.col("lang")).alias("declared"), "text")).mapInArrow(
-        _passages(model, shortest), "doc_id bigint, declared string, first_sentence int, n_sentences int, passage_lang string, confidence double"
-    )
+    return _judged(documents, lambda shared: _passages(shared, shortest), "doc_id bigint, declared string, first_sentence int, n_sentences int, passage_lang string, confidence double", model, per_language)
 
 
-def languages(documents: DataFrame, per_language: int = SAMPLE) -> DataFrame:
-    """doc_id, declared, language (that of most of its text; 'und' if no sentence has one) and confidence of every document."""
-    model = fitted(documents, per_language)
-    return spread(documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), declared(F.col("lang")).alias("declared"), "text")).mapInArrow(_whole(model), "doc_id bigint, declared string, language string, confidence double")
+def languages(documents: DataFrame, per_language: int = SAMPLE, model: Model | None = None) -> DataFrame:
+    """doc_id, declared, language and confidence of every document: the language of most of its sentences, or where none has
+    one of most of its other text; 'und' without either."""
+    return _judged(documents, _whole, "doc_id bigint, declared string, language string, confidence double", model, per_language)

@@ -18,6 +18,8 @@ _QUOTE = re.compile(r"^(?:[ ]?[>|][ ]?)+")
 _WHEN = re.compile(r"\d{4}-\d\d-\d\d \d\d:\d\d")
 _QUOTED_HEADER = re.compile(r"^(?:From|Sent|To|Cc|Subject|Date|Reply-To|Message-ID): ?", re.I)
 _RULE = re.compile(r"^(?:[*_=~#-]{3,}|-{2,}.*-{2,})$")
+#: In a paragraph without capitals a sentence may begin with a small letter.
+_SMALL_END = re.compile(r"(?<=[.!?…])[\"'”’)\]]*[ \n]+(?=\S)|(?<=[。！？])(?=.)", re.S)
 _END = re.compile(r"(?<=[.!?…])[\"'”’)\]]*[ \n]+(?=[^\sa-zа-яß-öø-ÿ])|(?<=[。！？])(?=.)", re.S)
 _BASE64 = re.compile(r"[^A-Za-z0-9+/]")
 _UTF8_AS_LATIN = re.compile(r"[\u00c3\u00c2\u00c4\u00c5\u00d0\u00d1\u00e3\u00e2][\u0080-\u00ff\u0152\u0153\u0160\u0161\u0178\u017d\u017e\u0192\u02c6\u02dc\u2013-\u2022\u2026\u2030\u2039\u203a\u20ac\u2122]")
@@ -158,7 +160,7 @@ def _flows(part: str) -> list[list[str]]:
             turn()
             in_signature = False
             in_header = "message" in line.lower()
-        elif _WHEN.search(line) and (line[-1:] in ":：" or len(line) < 60):
+        elif _WHEN.search(line) and line[-1:] in ":：":  # says who wrote what follows
             turn()
             in_signature = False
         elif in_header and _QUOTED_HEADER.match(line):
@@ -170,17 +172,30 @@ def _flows(part: str) -> list[list[str]]:
     return [f for f in flows if f]
 
 
+def split(paragraph: str) -> list[str]:
+    """A paragraph cut after each sentence's end."""
+    return (_END if paragraph != paragraph.lower() or not _LETTER.search(paragraph) else _SMALL_END).split(paragraph)
+
+
+def flows(text: str) -> list[list[str]]:
+    """The paragraphs of each flow of text of a mail."""
+    return [f for part in text_parts(text.replace("\r\n", "\n").replace("\r", "\n")) for f in _flows(part)]
+
+
 def sentences(text: str) -> list[list[str]]:
-    """The sentences of each flow of text of a mail. A sentence ends with a full stop or the like; what has no such end,
-    as greetings and names have, is none. A flow goes on over paragraphs."""
+    """The sentences of each flow of text of a mail. A sentence has a letter and ends with a full stop or the like; what has no
+    such end, as greetings and names have, is none. A flow goes on over paragraphs."""
     out = []
-    for part in text_parts(text.replace("\r\n", "\n").replace("\r", "\n")):
-        for flow in _flows(part):
-            found = []
-            for paragraph in flow:
-                for s in _END.split(paragraph):
-                    if s[-1:] in ".!?…。！？\"'”’)" and len(s) > 7:
-                        found.append(s)
-            if found:
-                out.append(found)
+    for flow in flows(text):
+        found = [s for paragraph in flow for s in split(paragraph) if s[-1:] in ".!?…。！？\"'”’)" and _LETTER.search(s)]
+        if found:
+            out.append(found)
     return out
+
+
+_ADDRESS = re.compile(r"\S*(?:/|@)\S*")
+
+
+def unpunctuated(text: str) -> list[str]:
+    """The paragraphs of a mail, without addresses: what there is to read where no sentence has an end."""
+    return [p for flow in flows(text) for paragraph in flow if (p := _ADDRESS.sub(" ", paragraph).strip())]
