@@ -89,10 +89,17 @@ def p4_rows(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
-    return compaction.consolidated(table(spark, folder, "particle_files"))
+    return compaction.consolidated(table(spark, folder, "particle_files")).rows
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_report, p3_found, p3_per_key, p4_found, p4_reasons, p4_rows, p5_found)}
+def p5_report(spark: SparkSession, folder: str) -> DataFrame:
+    """What became of the files and their rows, one row per count."""
+    files = table(spark, folder, "particle_files")
+    counts = compaction.consolidated(files).counts if not files.isEmpty() else {}
+    return spark.createDataFrame(list(counts.items()), "item string, n bigint")
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p2_report, p3_found, p3_per_key, p4_found, p4_reasons, p4_rows, p5_found, p5_report)}
 
 _ORPHANS = r"""
 WITH refs AS (
@@ -156,7 +163,7 @@ k AS (SELECT 'tomo' AS field, tomo AS key_value, * FROM j UNION ALL SELECT 'ref'
 SELECT field, key_value, count(*) AS n_rows, count(CASE WHEN n > 0 THEN 1 END) AS n_matched, CAST(sum(n) AS BIGINT) AS n_pairs, {_MEANS}
 FROM k WHERE key_value IS NOT NULL GROUP BY 1, 2
 """
-_RECORDS = r"""
+_SPLIT_FILES = r"""
 WITH cur AS (
   SELECT file_id, content FROM (SELECT *, row_number() OVER (PARTITION BY path ORDER BY modified_at DESC NULLS LAST, file_id) AS k FROM particle_files WHERE NOT regexp_matches(path, '(^|/)[_.][^/]*$')) WHERE k = 1
 ), parts AS (SELECT file_id, regexp_split_to_array(content, '\r\n|\n|\r') AS l FROM cur WHERE content IS NOT NULL),
@@ -167,6 +174,8 @@ own AS (SELECT m.* FROM marked m JOIN chosen USING (file_id, b)),
 labels AS (SELECT file_id, regexp_extract(s, '^\S+') AS label, row_number() OVER (PARTITION BY file_id ORDER BY i) AS c FROM own WHERE starts_with(s, '_')),
 heads AS (SELECT file_id, count(*) AS n, max(CASE WHEN label = '_tag' THEN c END) AS t, max(CASE WHEN label = '_rlnImageName' THEN c END) AS g FROM labels GROUP BY 1),
 found AS (SELECT own.file_id, regexp_extract_all(s, '"[^"]*"|''[^'']*''|\S+') AS v FROM own WHERE NOT starts_with(s, '_') AND NOT starts_with(lower(s), 'data_') AND lower(s) <> 'loop_')
+"""
+_RECORDS = _SPLIT_FILES + r"""
 SELECT DISTINCT CAST(v[t] AS BIGINT) AS tag, regexp_replace(v[g], '^["''](.*)["'']$', '\1') AS image_name FROM found JOIN heads USING (file_id) WHERE len(v) = n AND t IS NOT NULL AND g IS NOT NULL AND regexp_full_match(v[t], '[0-9]+')
 """
 SQL = {
@@ -180,6 +189,12 @@ SELECT field, key_value FROM (
 ) WHERE key_value IS NOT NULL AND n * 100 >= 3 * (SELECT count(*) FROM dynamo_tbl)""",
     "p3_per_key": _PER_KEY,
     "p5_found": _RECORDS,
+    "p5_report": _SPLIT_FILES
+    + r""", judged AS (SELECT len(v) <> n AS cut, t IS NULL OR g IS NULL AS lost, t IS NOT NULL AND NOT regexp_full_match(v[t], '[0-9]+') AS bad, v[t] AS tag, v[g] AS name FROM found JOIN heads USING (file_id)),
+kept AS (SELECT CAST(tag AS BIGINT) AS tag, regexp_replace(name, '^["''](.*)["'']$', '\1') AS name FROM judged WHERE NOT cut AND NOT lost AND NOT bad),
+c AS (SELECT (SELECT count(*) FROM parts) AS current_files, (SELECT count(*) FROM judged) AS rows_read, (SELECT count(*) FROM judged WHERE cut) AS cut, (SELECT count(*) FROM judged WHERE NOT cut AND lost) AS no_columns,
+  (SELECT count(*) FROM judged WHERE NOT cut AND NOT lost AND bad) AS no_tag, (SELECT count(*) FROM kept) - (SELECT count(*) FROM (SELECT DISTINCT * FROM kept)) AS duplicates, (SELECT count(*) FROM (SELECT DISTINCT * FROM kept)) AS records)
+SELECT item, n FROM (UNPIVOT c ON COLUMNS(*) INTO NAME item VALUE n)""",
     "p4_found": _LINES + "SELECT line_id FROM judged WHERE reason IS NOT NULL",
     "p4_reasons": _LINES + "SELECT line_id, reason FROM judged WHERE reason IS NOT NULL",
     "p4_rows": _LINES + "SELECT line_id, " + ", ".join(f"v[{i + 1}] AS {c}" for i, c in enumerate(TBL_COLUMNS)) + " FROM judged WHERE reason IS NULL",

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from dataclasses import dataclass, field
 
 _LINE_ENDS = re.compile(r"\r\n|\n|\r")
 _VALUES = re.compile(r"""(?:"((?:[^"]|"(?=\S))*)"|'((?:[^']|'(?=\S))*)')(?=\s|$)|(\S+)""")
@@ -15,57 +16,80 @@ def values(line: str) -> list[str]:
     return [m[1] if m[1] is not None else m[2] if m[2] is not None else m[3] for m in _VALUES.finditer(line)]
 
 
-def blocks(text: str) -> list[tuple[str, list[str], list[list[str]]]]:
-    """(name, columns, rows) of each block. Lines that begin with # are comments; key-value pairs make one row; a row
-    may go on over lines until it has a value for each column; an unfinished last row is left out."""
-    out: list[tuple[str, list[str], list[list[str]]]] = []
-    columns: list[str] = []
-    rows: list[list[str]] = []
+@dataclass
+class Block:
+    """A block of STAR text: rows with a value for each column, and how many rows were cut off."""
+
+    name: str
+    columns: list[str] = field(default_factory=list)
+    rows: list[list[str]] = field(default_factory=list)
+    n_cut: int = 0
+
+
+def parsed(text: str) -> list[Block]:
+    """The blocks of a text. Lines that begin with # are comments; key-value pairs make one row; a row may go on over lines
+    until it has a value for each column; one that never does is cut off."""
+    out: list[Block] = []
     pending: list[str] = []
     loop = False
+
+    def ended() -> None:
+        if pending:
+            out[-1].n_cut += 1
+            pending.clear()
+
     for raw in _LINE_ENDS.split(text or ""):
         line = raw.strip()
         if not line or line[0] == "#":
             continue
         low = line[:5].lower()
         if low == "data_":
-            columns, rows, pending, loop = [], [], [], False
-            out.append((line[5:].split()[0] if line[5:].split() else "", columns, rows))
-        elif not out:
+            ended()
+            out.append(Block(line[5:].split()[0] if line[5:].split() else ""))
+            loop = False
             continue
-        elif low == "loop_":
-            if columns:  # a second loop of the block is not a table of its own here
-                loop, columns, rows = True, [], []
-                out.append((out[-1][0], columns, rows))
-            loop, pending = True, []
-        elif line[0] == "_" and not rows and not pending and (loop or len(values(line)) >= 2):
-            parts = values(line)
-            columns.append(parts[0])
+        if not out:
+            continue
+        own = out[-1]
+        if low == "loop_":
+            ended()
+            if own.columns:  # a second loop of the block is not a table of its own here
+                out.append(Block(own.name))
+            loop = True
+        elif line[0] == "_" and not pending and (not own.rows or not loop) and (loop or len(values(line)) >= 2):
+            label, *value = values(line)
+            own.columns.append(label)
             if not loop:
-                pair = parts[1] if len(parts) > 1 else ""
-                out[-1] = (out[-1][0], columns, [(out[-1][2][0] if out[-1][2] else []) + [pair]])
-        elif loop and columns:
+                own.rows = [(own.rows[0] if own.rows else []) + [value[0] if value else ""]]
+        elif loop and own.columns:
             found = values(line)
-            if len(found) == len(columns):  # a whole row; what was pending before it was cut
-                rows.append(found)
-                pending = []
+            if len(found) == len(own.columns):  # a whole row; what was pending before it was cut
+                ended()
+                own.rows.append(found)
                 continue
             pending += found
-            if len(pending) == len(columns):
-                rows.append(pending)
-                pending = []
-            elif len(pending) > len(columns):
-                pending = []  # no way to tell where the next row begins but the next line
+            if len(pending) == len(own.columns):
+                own.rows.append(pending.copy())
+                pending.clear()
+            elif len(pending) > len(own.columns):
+                ended()  # no way to tell where the next row begins but the next line
+    ended()
     return out
 
 
+def blocks(text: str) -> list[tuple[str, list[str], list[list[str]]]]:
+    """(name, columns, rows) of each block."""
+    return [(b.name, b.columns, b.rows) for b in parsed(text)]
+
+
+def particles(text: str) -> Block:
+    """The particle block: the one named particles, else the first that isn't data_optics; an empty one without either."""
+    found = parsed(text)
+    named = [b for b in found if b.name.lower() == "particles"] or [b for b in found if b.name.lower() != "optics"]
+    return named[0] if named else Block("")
+
+
 def particle_block(text: str) -> tuple[list[str], list[list[str]]]:
-    """Columns and rows of the particle block: the one named particles, else the first that isn't data_optics; empty without one."""
-    found = blocks(text)
-    for name, columns, rows in found:
-        if name.lower() == "particles":
-            return columns, rows
-    for name, columns, rows in found:
-        if name.lower() != "optics":
-            return columns, rows
-    return [], []
+    """Columns and rows of the particle block."""
+    block = particles(text)
+    return block.columns, block.rows
