@@ -23,6 +23,7 @@ NAN = r"^[nN][aA][nN]\z"
 QUOTED = r'(?<![^ \t])"[^"]*"(?![^ \t])'
 #: Fields that must have a number within a range of their own.
 RULED = ("tag", "tdrot", "fs1")
+_VERDICT = "_verdict"
 SCHEMA = ", ".join(f"{c} double" for c in TBL_COLUMNS) + ", corrupt string"
 
 
@@ -74,6 +75,8 @@ def classified(lines: DataFrame, line: str = "line") -> DataFrame:
     """
     bare = F.regexp_replace(F.regexp_replace(F.col(line), r"\r\z", ""), rf"^{BLANK}+|{BLANK}+\z", "")
     rows = lines.where(let(bare, lambda b: b.isNotNull() & (b != "") & ~b.startswith("#")))
-    verdict = let(bare, _verdict)
-    row = let(verdict, lambda v: F.when(v["reason"].isNull(), let(v["cast"], lambda x: F.struct(*(F.when(~F.isnan(x[i]), x[i]).alias(c) for i, c in enumerate(TBL_COLUMNS))))))
-    return rows.withColumns({"reason": verdict["reason"], "row": row})
+    # A generator makes the verdict, so that it isn't computed again for a filter on it.
+    judged = rows.withColumn(_VERDICT, F.explode(F.array(let(bare, _verdict))))
+    cast = [F.get(f"{_VERDICT}.cast", F.lit(i)) for i in range(len(TBL_COLUMNS))]
+    row = F.struct(*(F.when(~F.isnan(v), v).alias(c) for v, c in zip(cast, TBL_COLUMNS)))
+    return judged.withColumns({"reason": F.col(f"{_VERDICT}.reason"), "row": F.when(F.col(f"{_VERDICT}.reason").isNull(), row)}).drop(_VERDICT)

@@ -7,13 +7,14 @@ from pyspark.sql import functions as F
 
 from tomoframe.functions import geometry as g
 from tomoframe.functions.columns import number, trimmed, whole
-from tomoframe.functions.formatting import general_format, hms, lenient_number
+from tomoframe.functions.formatting import general_format, hms
 from tomoframe.operators.conversion import first_existing
 from tomoframe.operators.ordered import in_order
 from tomoframe.operators.ordinals import cyclic_join, first_seen_ids, with_ordinal
 from tomoframe.plans.registry import Registry, rounded
 from tomoframe.schema import TBL_COLUMNS
 from tomoframe.session import table
+from tomoframe.sources.tables import token_columns
 
 R = Registry()
 QUERIES, SQL = R.QUERIES, R.SQL
@@ -453,9 +454,25 @@ v AS (SELECT line_id, len(f) AS n_tokens, list_transform(f, lambda x: CASE WHEN
 SELECT line_id, n_tokens, """ + ", ".join(f"CASE WHEN isinf(v[{i + 1}]) THEN NULL ELSE v[{i + 1}] END AS {n}" for i, n in enumerate(TBL_COLUMNS)) + " FROM v")
 def scan_tokens(spark: SparkSession, d: str) -> DataFrame:
     """Lines as the lenient reader takes them: split at blanks, complex tokens by their real part, other tokens and missing ones null."""
-    rows = table(spark, d, "tbl_lines").select("line_id", trimmed("line").alias("line")).where("line is not null")
-    rows = rows.select("line_id", F.transform(F.split("line", r"[ \t\r]+"), lenient_number).alias("v"), F.size(F.split("line", r"[ \t\r]+")).cast("bigint").alias("n_tokens"))
-    return rows.select("line_id", "n_tokens", *(F.get("v", F.lit(i)).alias(n) for i, n in enumerate(TBL_COLUMNS)))
+    return token_columns(_bare_lines(spark, d)).drop("line")
+
+
+def _bare_lines(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "tbl_lines").select("line_id", trimmed("line").alias("line")).where("line is not null")
+
+
+@query(rf"""
+WITH t AS (SELECT line_id, regexp_split_to_array(trim(line, e' \t\r\n'), '[ \t\r]+') AS f FROM tbl_lines WHERE trim(line, e' \t\r\n') <> ''),
+v AS (SELECT line_id, unnest(f) AS x, generate_subscripts(f, 1) AS position FROM t WHERE len(f) > 35)
+SELECT line_id, position, CASE WHEN regexp_full_match(x, '{_TOKEN[1:]}({_IMAGINARY})?') AND NOT isinf(TRY_CAST(regexp_extract(x, '{_TOKEN}') AS DOUBLE)) THEN TRY_CAST(regexp_extract(x, '{_TOKEN}') AS DOUBLE) END AS value FROM v WHERE position > 35""")
+def scan_extra(spark: SparkSession, d: str) -> DataFrame:
+    """The tokens of wide lines beyond the 35 columns, which the reader names col36 and so on."""
+    lines = _bare_lines(spark, d)
+    width = lines.agg(F.max(F.size(F.split("line", r"[ \t\r]+")))).first()[0] or 0
+    names = [f"col{i}" for i in range(len(TBL_COLUMNS) + 1, width + 1)]
+    wide = token_columns(lines, width=max(width, len(TBL_COLUMNS))).where(c("n_tokens") > len(TBL_COLUMNS))
+    pairs = F.array(*(F.struct(F.lit(int(n[3:])).cast("bigint").alias("position"), c(n).alias("value")) for n in names)) if names else F.array().cast("array<struct<position:bigint,value:double>>")
+    return wide.select("line_id", "n_tokens", F.inline(pairs)).where("position <= n_tokens").drop("n_tokens")
 
 
 @query("""SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k, '{"event_type":"' || event_type || '","k":' || CAST(json_extract(props, '$.k') AS VARCHAR) || '}' AS again FROM events WHERE json_extract(props, '$.k') IS NOT NULL AND event_type IS NOT NULL""")

@@ -4,8 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import types as T
 
-# The columns of the native table by position, those printed as whole numbers, and the STAR columns that crop
-# and alignment write, in their order.
+# The columns of the native table by position, and those printed as whole numbers.
 TBL_COLUMNS = (
     "tag aligned averaged dx dy dz tdrot tilt narot cc cc2 cpu ftype ymintilt ymaxtilt xmintilt xmaxtilt fs1 fs2 tomo reg "
     "class annotation x y z dshift daxis dnarot dcc otag npar col33 ref sref"

@@ -8,16 +8,32 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from tomoframe.functions.columns import trimmed
 from tomoframe.functions.formatting import general_format, lenient_number, whole_format
+from tomoframe.operators.ordinals import with_ordinal
 from tomoframe.schema import TBL_COLUMNS, WHOLE_POSITIONS
 from tomoframe.sources.star import blocks, particle_block
 
 
+def _tokens(line: Column | str) -> Column:
+    return F.transform(F.split(line, r"[ \t\r]+"), lenient_number)
+
+
+def token_columns(lines: DataFrame, line: str = "line", width: int = len(TBL_COLUMNS)) -> DataFrame:
+    """`lines` with `n_tokens` and the first `width` tokens of `line` as numbers: the 35 columns of the table, then col36, col37 and
+    so on. Missing tokens and those that are no numbers are null, complex ones count by their real part.
+
+    A generator makes the tokens, so that a line is split once for all columns."""
+    names = [*TBL_COLUMNS, *(f"col{i + 1}" for i in range(len(TBL_COLUMNS), width))][:width]
+    split = lines.withColumn("_v", F.explode(F.array(_tokens(line))))
+    return split.select(*(F.col(f"`{c}`") for c in lines.columns if c not in ("n_tokens", *names)), F.size("_v").cast("bigint").alias("n_tokens"), *(F.get("_v", F.lit(i)).alias(n) for i, n in enumerate(names)))
+
+
 def read_tbl(spark: SparkSession, path: str) -> DataFrame:
-    """The lines of native tables as 35 doubles, with `src_file` and `at` (a growing number within a file). Blank lines are
-    left out, short rows end in nulls, tokens that are no numbers are null, complex ones count by their real part."""
+    """The lines of native tables as numbers, with `src_file` and `at` (a growing number within a file): 35 columns, and col36
+    and so on where a line has more, as many as the widest one. Blank lines are left out, short rows end in nulls, tokens that
+    are no numbers are null, complex ones count by their real part. The width is found by a first scan."""
     lines = spark.read.text(path).select(trimmed("value").alias("line"), F.input_file_name().alias("src_file"), F.monotonically_increasing_id().alias("at")).where("line is not null")
-    tokens = lines.select("src_file", "at", F.transform(F.split("line", r"\s+"), lenient_number).alias("v"))
-    return tokens.select("src_file", "at", *(F.get("v", F.lit(i)).alias(n) for i, n in enumerate(TBL_COLUMNS)))
+    width = lines.agg(F.max(F.size(F.split("line", r"[ \t\r]+")))).first()[0] or 0
+    return token_columns(lines, width=max(width, len(TBL_COLUMNS))).drop("line", "n_tokens")
 
 
 def tbl_lines(rows: DataFrame) -> DataFrame:
@@ -38,14 +54,10 @@ def write_tbl(rows: DataFrame, path: str, order: str) -> None:
 
 
 def read_vll(spark: SparkSession, path: str) -> DataFrame:
-    """tomo_id (the place in the list, from 1), rlnMicrographName, tomo_path of one list file. Blank and comment lines don't count.
-
-    A list is read as one line-delimited file, whose lines a single scan numbers in order; it is the dimension of a table."""
-    from pyspark.sql import Window
-
+    """tomo_id (the place in the list, from 1), rlnMicrographName, tomo_path of one list file. Blank and comment lines don't count."""
     lines = spark.read.text(path).select(trimmed("value").alias("tomo_path"), F.monotonically_increasing_id().alias("at")).where("tomo_path is not null and not startswith(tomo_path, '#')")
     name = F.regexp_replace(F.regexp_replace("tomo_path", "^.*/", ""), r"(?<=.)\.[^.]*\z", "")
-    return lines.select(F.row_number().over(Window.orderBy("at")).cast("bigint").alias("tomo_id"), name.alias("rlnMicrographName"), "tomo_path")
+    return with_ordinal(lines, ["at"], "tomo_id").select((F.col("tomo_id") + 1).alias("tomo_id"), name.alias("rlnMicrographName"), "tomo_path")
 
 
 def star_rows(files: DataFrame, columns: list[str], content: str = "content") -> DataFrame:
