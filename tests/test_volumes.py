@@ -2,8 +2,10 @@ from __future__ import annotations
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tomoframe.functions import volume as v
+from tomoframe.functions.geometry import ring_size
 from tomoframe.operators import volumes as ops
 from tomoframe.plans import pipelines
 from tomoframe.sources import mrc
@@ -108,6 +110,16 @@ def test_angle_list():
     assert len({tuple(np.round(v.rotation(*a), 6).ravel()) for a in some}) == len(some)
 
 
+def test_angle_list_counts_and_order(spark):
+    """The rings of the half sphere as functions.geometry counts them, and the turns of the first axis."""
+    counts = [r.n for r in spark.range(7).select(F.col("id"), ring_size(F.col("id") * 15.0, F.lit(15.0)).alias("n")).orderBy("id").collect()]
+    rings = v.angle_list(180, 15, 0, 15)
+    tilts = [round(float(np.degrees(np.arccos(np.clip(v.rotation(*a)[2, 2], -1, 1)))), 6) for a in rings]
+    assert tilts == sorted(tilts) and [tilts.count(15 * k) for k in range(7)] == counts
+    assert [a[2] for a in v.angle_list(0, 15, 60, 15)] == [0, 15, 30, -15, -30]
+    assert v.angle_list(90, 0, 90, 0) == [(0, 0, 0)]
+
+
 @pytest.mark.parametrize("search", [v.Search(60, 20, 60, 15, 2), v.Search(60, 20, 60, 15, 2, levels=2), v.Search(40, 20, 30, 15, 1, cc_mode="roseman_local", subpixel=False)])
 def test_pose_is_found(search):
     b = brick()
@@ -327,3 +339,15 @@ def test_queries_search_all_poses_and_shapes(spark, tmp_path, monkeypatch):
     classes = {r.path: r for r in vector_queries.classify_volumes(spark, str(tmp_path)).collect()}
     assert len(rounds) == 3 and len(classes) == 12 and not any(r.error for r in classes.values())
     assert {classes[p].ref for p in ("p10", "p11")} <= {3, 4}
+
+
+def test_auto_wedge_side_is_resolved_for_each_row(spark):
+    b = brick(8)
+    particle = v.filtered(v.posed(b, (0, 0, 0, 1, 0, 0)), v.wedge(b.shape, 1, -30.0, 30.0, 0.0, 0.0)) + np.random.default_rng(4).normal(0, 0.05, b.shape)
+    flags = {1: (1.0, 1.0), 2: (1.0, 0.0), 3: (0.0, 1.0), 4: (None, None)}
+    rows = spark.createDataFrame([(k, 8, 8, 8, particle.astype("<f4").tobytes(), 1.0, -30.0, 30.0, 0.0, 0.0, *f) for k, f in flags.items()], "tag int, nz int, ny int, nx int, data binary, ftype double, ymintilt double, ymaxtilt double, xmintilt double, xmaxtilt double, fs1 double, fs2 double")
+    run = lambda side: {r.tag: r.cc for r in ops.aligned(rows, {1: b}, v.Search(0, 30, 0, 30, 1, subpixel=False, wedge_side=side), ["tag"]).collect()}
+    auto, both, of_particle, of_template = run("auto"), run("both"), run("particle"), run("template")
+    assert auto == {1: both[1], 2: of_particle[2], 3: of_template[3], 4: both[4]}
+    assert len({round(x, 6) for x in auto.values()}) == 3
+    assert run("AUTO") == auto and {r.cc for r in ops.aligned(rows.drop("fs1", "fs2"), {1: b}, v.Search(0, 30, 0, 30, 1, subpixel=False, wedge_side="auto"), ["tag"]).collect()} == {both[1]}

@@ -131,12 +131,13 @@ def in_shift_range(mode: Column, shift: tuple[Column, Column, Column], r: Column
 
 
 def ring_size(tilt: Column, spacing: Column) -> Column:
-    """How many axes lie on the ring at `tilt` so that neighbours are about `spacing` apart on the sphere; one at the poles."""
-    c, s = F.cos(F.radians(tilt)), F.sin(F.radians(tilt))
-    ratio = (F.cos(F.radians(spacing)) - c * c) / F.greatest(s * s, F.lit(1e-8))
-    step = F.degrees(F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), ratio))))
-    ring = F.when(step > 0, F.floor(360.0 / F.when(step > 0, step)) + 2).otherwise(1)
-    return F.when((tilt == 0) | (tilt == 180), 1).otherwise(ring).cast("bigint")
+    """How many axes stand on the ring at `tilt`. Two axes of a ring whose azimuths differ by a have 1 - sin(tilt)^2 (1 - cos(a))
+    as the cosine of the angle between them; neighbours are `spacing` apart, or opposite where the ring is smaller than that.
+    Fixed values: two axes more than fit into the ring, and one at a pole."""
+    radius = F.sin(F.radians(tilt))
+    between = F.degrees(F.acos(F.greatest(F.lit(-1.0), 1 - (1 - F.cos(F.radians(spacing))) / (radius * radius))))
+    fit = F.when((tilt == 0) | (tilt == 180), -1).when(between > 0, F.floor(360.0 / between)).otherwise(-1)
+    return (fit + 2).cast("bigint")
 
 
 def in_wedge(ftype: Column, kx: Column, ky: Column, kz: Column, ymin: Column, ymax: Column, xmin: Column, xmax: Column) -> Column:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import replace
 
 import numpy as np
 import pandas as pd
@@ -10,6 +11,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tomoframe.functions import volume as v
+from tomoframe.functions.columns import number
+from tomoframe.functions.geometry import wedge_side
 
 #: References and masks are broadcast; together they may have so many bytes.
 MOST_REFERENCE_BYTES = 1 << 30
@@ -87,29 +90,32 @@ def aligned(rows: DataFrame, references: dict[int, np.ndarray], search: v.Search
     """Each volume's best pose over the references, and the volume brought back into the frame of that reference.
 
     rows: `keep`, nz, ny, nx, data; with `own_reference` also ref, cut to the range of the references, which is then the only
-    one tried; optionally tdrot, tilt, narot as seeds and ftype, ymintilt, ymaxtilt, xmintilt, xmaxtilt as wedge.
+    one tried; optionally tdrot, tilt, narot as seeds and ftype, ymintilt, ymaxtilt, xmintilt, xmaxtilt as wedge. A wedge side of
+    'auto' is resolved for each row by its fs1 and fs2; without these it is both.
     Returns `keep`, ref (the lowest of equal ones), the pose, cc, nz, ny, nx, data, and `error` where a volume can't be
     used; then the rest is null. References of another shape than the volume are passed over.
     """
     if sum(r.nbytes for r in references.values()) > MOST_REFERENCE_BYTES:
         raise ValueError("too many or too large references to broadcast")
-    shared = rows.sparkSession.sparkContext.broadcast((references, search, mask))
+    shared = rows.sparkSession.sparkContext.broadcast((references, mask))
     have = set(rows.columns)
     seeds = [c for c in ("tdrot", "tilt", "narot") if c in have]
     wedges = [c for c in ("ftype", "ymintilt", "ymaxtilt", "xmintilt", "xmaxtilt") if c in have]
-    used = list(dict.fromkeys([*keep, "nz", "ny", "nx", "data", *(["ref"] if own_reference else []), *seeds, *wedges]))
+    flags = [number(f) if f in have else F.lit(None).cast("double") for f in ("fs1", "fs2")]
+    rows = rows.withColumn("_side", wedge_side(*flags, search.wedge_side.lower()))
+    used = list(dict.fromkeys([*keep, "nz", "ny", "nx", "data", "_side", *(["ref"] if own_reference else []), *seeds, *wedges]))
     out_names = [*keep, "ref", *(("tdrot", "tilt", "narot", "dx", "dy", "dz", "cc")), "nz", "ny", "nx", "data", "error"]
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*keep).schema.fields)
     schema = f"{kept}, ref bigint, tdrot double, tilt double, narot double, dx double, dy double, dz double, cc double, nz int, ny int, nx int, data binary, error string"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        refs, how, real_mask = shared.value
+        refs, real_mask = shared.value
         known = lambda row, names: all(getattr(row, n) is not None and getattr(row, n) == getattr(row, n) for n in names)
         order = sorted(refs)
         for pdf in batches:
             out: list[tuple] = []
-            alike: dict[tuple, list] = {}  # rows that are searched together: shape, seed, wedge, references
-            for row in pdf.itertuples(index=False):
+            alike: dict[tuple, list] = {}  # rows that are searched together: shape, seed, wedge, its side, references
+            for side, row in zip(pdf["_side"], pdf.drop(columns="_side").itertuples(index=False)):
                 try:
                     particle = box(row)
                 except (ValueError, TypeError) as e:
@@ -118,8 +124,9 @@ def aligned(rows: DataFrame, references: dict[int, np.ndarray], search: v.Search
                 seed = tuple(float(getattr(row, s)) for s in seeds) if len(seeds) == 3 and known(row, seeds) else (0.0, 0.0, 0.0)
                 lost = tuple(float(getattr(row, w)) for w in wedges) if len(wedges) == 5 and known(row, wedges) else None
                 own = min(max(int(row.ref) if known(row, ["ref"]) else order[0], order[0]), order[-1]) if own_reference and order else None
-                alike.setdefault((particle.shape, seed, lost, own), []).append((row, particle))
-            for (shape, seed, lost, own), rows_ in alike.items():
+                alike.setdefault((particle.shape, seed, lost, side, own), []).append((row, particle))
+            for (shape, seed, lost, side, own), rows_ in alike.items():
+                how = replace(search, wedge_side=side)
                 support = None if lost is None else v.wedge(shape, int(lost[0]), *lost[1:])
                 best: list[tuple | None] = [None] * len(rows_)
                 for r in order if own is None else [own]:
