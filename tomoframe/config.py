@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import warnings
 from dataclasses import dataclass, fields
 from typing import Any
@@ -12,12 +13,16 @@ from tomoframe.functions.volume import Search
 @dataclass(frozen=True)
 class Settings:
     table: str = ""
-    tomograms: str = ""
+    tables: tuple[str, ...] = ()
+    tomograms: str | tuple[str, ...] = ""
     volumes: str = ""
     reference: str = ""
     references: tuple[str, ...] = ()
     mask: str = ""
     output: str = ""
+    output_star: str = ""
+    pair_by: str = "tag"
+    tomogram_size: tuple[float, ...] | None = None
     sidelength: int = 0
     fill: int = -1
     symmetry: str = "c1"
@@ -43,6 +48,13 @@ class Settings:
     lowpass: float = 0.0
     wedge_apply_to: str = "both"
 
+    @property
+    def size(self) -> tuple[float, ...] | None:
+        """x, y, z of the tomograms."""
+        if self.tomogram_size is not None and len(self.tomogram_size) != 3:
+            raise ValueError("tomogram_size has three numbers")
+        return self.tomogram_size
+
     @property
     def search(self) -> Search:
         return Search(self.cone_range, self.cone_step, self.inplane_range, self.inplane_step, self.shift_search, self.shift_mode, self.subpixel, self.cc_mode, self.cc_local_window, self.multigrid_levels, self.lowpass or None, self.pixel_size, self.wedge_apply_to)
@@ -66,8 +78,24 @@ def settings(values: dict[str, Any] | None, **more: Any) -> Settings:
     return Settings(**{k: tuple(v) if isinstance(v, list) else v for k, v in values.items() if k in known and v is not None})
 
 
+PATHS = ("table", "tables", "tomograms", "volumes", "reference", "references", "mask", "output", "output_star")
+
+
+def resolved(path: str, folder: str) -> str:
+    """A relative path as one below `folder`; absolute ones and those of other file systems stay."""
+    return path if not path or os.path.isabs(path) or "://" in path else os.path.normpath(os.path.join(folder, path))
+
+
 def load(path: str, **more: Any) -> Settings:
+    """The settings of a file; relative paths in it are relative to its folder."""
     import yaml
 
     with open(path, encoding="utf-8") as f:
-        return settings(yaml.safe_load(f), **more)
+        values = yaml.safe_load(f) or {}
+    folder = os.path.dirname(os.path.abspath(path))
+    for k in PATHS:
+        if isinstance(values.get(k), str):
+            values[k] = resolved(values[k], folder)
+        elif isinstance(values.get(k), list):
+            values[k] = [resolved(v, folder) for v in values[k]]
+    return settings(values, **more)

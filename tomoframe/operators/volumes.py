@@ -115,16 +115,16 @@ def aligned(rows: DataFrame, references: dict[int, np.ndarray], search: v.Search
         for pdf in batches:
             out: list[tuple] = []
             alike: dict[tuple, list] = {}  # rows that are searched together: shape, seed, wedge, its side, references
-            for side, row in zip(pdf["_side"], pdf.drop(columns="_side").itertuples(index=False)):
+            for side, values, row in zip(pdf["_side"], pdf[keep].itertuples(index=False, name=None), pdf.drop(columns="_side").itertuples(index=False)):
                 try:
                     particle = box(row)
                 except (ValueError, TypeError) as e:
-                    out.append((*(getattr(row, k) for k in keep), *[None] * 12, str(e)))
+                    out.append((*values, *[None] * 12, str(e)))
                     continue
                 seed = tuple(float(getattr(row, s)) for s in seeds) if len(seeds) == 3 and known(row, seeds) else (0.0, 0.0, 0.0)
                 lost = tuple(float(getattr(row, w)) for w in wedges) if len(wedges) == 5 and known(row, wedges) else None
                 own = min(max(int(row.ref) if known(row, ["ref"]) else order[0], order[0]), order[-1]) if own_reference and order else None
-                alike.setdefault((particle.shape, seed, lost, side, own), []).append((row, particle))
+                alike.setdefault((particle.shape, seed, lost, side, own), []).append((values, particle))
             for (shape, seed, lost, side, own), rows_ in alike.items():
                 how = replace(search, wedge_side=side)
                 support = None if lost is None else v.wedge(shape, int(lost[0]), *lost[1:])
@@ -137,8 +137,7 @@ def aligned(rows: DataFrame, references: dict[int, np.ndarray], search: v.Search
                         for i, pose in enumerate(v.align_many([p for _, p in rows_[k : k + step]], refs[r], how, real_mask, seed, support), k):
                             if pose[6] == pose[6] and (best[i] is None or pose[6] > best[i][1][6]):
                                 best[i] = (r, pose)
-                for (row, particle), b in zip(rows_, best):
-                    values = [getattr(row, k) for k in keep]
+                for (values, particle), b in zip(rows_, best):
                     if b is None:
                         out.append((*values, *[None] * 12, "no reference of this shape"))
                         continue

@@ -12,7 +12,7 @@ from tomoframe.operators.conversion import first_existing
 from tomoframe.operators.ordered import in_order
 from tomoframe.operators.ordinals import cyclic_join, first_seen_ids, with_ordinal
 from tomoframe.plans.registry import Registry, rounded
-from tomoframe.schema import TBL_COLUMNS
+from tomoframe.schema import STAR_OUTPUT, TBL_COLUMNS
 from tomoframe.session import table
 from tomoframe.sources.tables import token_columns
 
@@ -21,11 +21,6 @@ QUERIES, SQL = R.QUERIES, R.SQL
 query = R.query
 c = F.col
 
-# The STAR columns that are written, as far as a table has them.
-STAR_OUTPUT = (
-    "rlnImageName rlnMicrographName rlnCoordinateX rlnCoordinateY rlnCoordinateZ rlnAngleRot rlnAngleTilt rlnAnglePsi "
-    "rlnOriginXAngst rlnOriginYAngst rlnOriginZAngst tag averaged ref"
-).split()
 PIXEL, SIDE = 4.284, 32
 TOMO_SIZE = (960, 928, 400)
 
@@ -48,7 +43,7 @@ def filter_in_list(spark: SparkSession, d: str) -> DataFrame:
 @query('SELECT star_id, "rlnImageName", "rlnMicrographName", "rlnAngleRot", "rlnAngleTilt", "rlnAnglePsi", "rlnOriginXAngst", "rlnOriginYAngst", "rlnOriginZAngst", tag, averaged, ref FROM star_particles')
 def project_whitelist(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "star_particles")
-    return rows.select("star_id", *(x for x in STAR_OUTPUT if x in rows.columns))
+    return rows.select("star_id", *(x for x in [*STAR_OUTPUT, "tag", "averaged", "ref"] if x in rows.columns))
 
 
 _FIRST_ENTRY = """SELECT tomo_id, min_by("rlnMicrographName", entry_id) AS name, min_by(tomo_path, entry_id) AS path FROM vll WHERE tomo_path IS NOT NULL GROUP BY 1"""

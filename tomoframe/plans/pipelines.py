@@ -128,13 +128,14 @@ def classify(rows: DataFrame, references: dict[int, np.ndarray], search: v.Searc
     return Classified(last, current, iterations)
 
 
-def crop(particles: DataFrame, side: int, fill: int = -1, path: str = "tomo_path") -> DataFrame:
+def crop(particles: DataFrame, side: int, fill: int = -1, path: str = "tomo_path", key: str | None = None) -> DataFrame:
     """Cubes around the 1-based x, y, z of each particle, from the MRC file that `path` names on a folder all executors share.
 
     Rows are brought together by tomogram, in as many tasks as its rows need, and each task maps the file and reads the
     cubes' bytes only. aligned = 1 or null is cropped. Returns tag, path, nz, ny, nx, voxel_size, data, out_of_scope,
-    error; out-of-scope cubes of fill 1 are left out. Rows without a path have an error.
+    error, and the row's BIGINT column `key`, if asked for; out-of-scope cubes of fill 1 are left out. Rows without a path have an error.
     """
+    keys = [key] if key else []
     if side <= 0 or side % 2:
         raise ValueError("the side must be positive and even")
 
@@ -153,16 +154,16 @@ def crop(particles: DataFrame, side: int, fill: int = -1, path: str = "tomo_path
                     vol, size = opened[r.src]
                     cube, outside = v.cropped(vol, side, (r.z, r.y, r.x), fill)
                 except (OSError, ValueError, TypeError) as e:
-                    out.append((r.tag, name, None, None, None, None, None, None, str(e)))
+                    out.append((r.tag, name, None, None, None, None, None, None, str(e), *([r.key_value] if keys else [])))
                     continue
                 if cube is not None:
-                    out.append((r.tag, name, *cube.shape, size or None, np.asarray(cube, "<f4").tobytes(), outside, None))
-            yield pd.DataFrame(out, columns=["tag", "path", "nz", "ny", "nx", "voxel_size", "data", "out_of_scope", "error"])
+                    out.append((r.tag, name, *cube.shape, size or None, np.asarray(cube, "<f4").tobytes(), outside, None, *([r.key_value] if keys else [])))
+            yield pd.DataFrame(out, columns=["tag", "path", "nz", "ny", "nx", "voxel_size", "data", "out_of_scope", "error", *keys])
 
     rows = particles.where(F.coalesce(F.col("aligned"), F.lit(1)) == 1) if "aligned" in particles.columns else particles
-    rows = rows.select(F.col("tag").cast("bigint").alias("tag"), F.col(path).alias("src"), *(F.col(a).cast("double").alias(a) for a in "xyz"))
+    rows = rows.select(F.col("tag").cast("bigint").alias("tag"), F.col(path).alias("src"), *(F.col(a).cast("double").alias(a) for a in "xyz"), *(F.col(k).alias("key_value") for k in keys))
     spread = rows.repartitionByRange("src", "z", "y", "x").sortWithinPartitions("src", "z", "y", "x")
-    return spread.mapInPandas(run, "tag bigint, path string, nz int, ny int, nx int, voxel_size double, data binary, out_of_scope boolean, error string")
+    return spread.mapInPandas(run, "tag bigint, path string, nz int, ny int, nx int, voxel_size double, data binary, out_of_scope boolean, error string" + "".join(f", {k} bigint" for k in keys))
 
 
 def crop_plan(particles: DataFrame, side: int, size: tuple[int, int, int]) -> DataFrame:

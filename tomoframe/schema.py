@@ -11,6 +11,13 @@ TBL_COLUMNS = (
 ).split()
 WHOLE_POSITIONS = (1, 2, 3, 13, 20, 21, 22, 23, 31, 32, 34, 35)
 
+# The STAR columns that crop and alignment write, in their order, as far as a table has them.
+STAR_OUTPUT = (
+    "rlnImageName rlnMicrographName rlnTomoName rlnTomoParticleId rlnCoordinateX rlnCoordinateY rlnCoordinateZ "
+    "rlnCenteredCoordinateXAngst rlnCenteredCoordinateYAngst rlnCenteredCoordinateZAngst rlnAngleRot rlnAngleTilt rlnAnglePsi "
+    "rlnOriginXAngst rlnOriginYAngst rlnOriginZAngst"
+).split()
+
 TBL = T.StructType([T.StructField(c, T.DoubleType()) for c in TBL_COLUMNS])
 VLL = T.StructType([T.StructField("tomo_id", T.LongType()), T.StructField("rlnMicrographName", T.StringType()), T.StructField("tomo_path", T.StringType())])
 VOLUME = T.StructType(

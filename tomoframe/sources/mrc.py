@@ -50,7 +50,12 @@ def encode(vol: np.ndarray, voxel_size: float = 0.0) -> bytes:
     return bytes(raw) + vol.tobytes()
 
 
-def read_volumes(spark: SparkSession, path: str) -> DataFrame:
+def listing(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """`path` of each *.mrc or *.mrcs file below a folder or several; the files aren't read."""
+    return spark.read.format("binaryFile").option("pathGlobFilter", "*.{mrc,mrcs}").option("recursiveFileLookup", "true").load(path).select("path")
+
+
+def read_volumes(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """One row per *.mrc or *.mrcs file below `path`, with the columns of VOLUME and `error` where a file can't be read."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.{mrc,mrcs}").option("recursiveFileLookup", "true").load(path)
 

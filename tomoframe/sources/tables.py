@@ -60,11 +60,12 @@ def read_vll(spark: SparkSession, path: str) -> DataFrame:
     return with_ordinal(lines, ["at"], "tomo_id").select((F.col("tomo_id") + 1).alias("tomo_id"), name.alias("rlnMicrographName"), "tomo_path")
 
 
-def star_rows(files: DataFrame, columns: list[str], content: str = "content") -> DataFrame:
+def star_rows(files: DataFrame, columns: list[str], content: str = "content", place: str | None = None) -> DataFrame:
     """The rows of the particle block of each file's text, with the given columns as strings (null where a file lacks one)
-    beside the other columns of `files`."""
+    beside the other columns of `files`, and the number of the row in its block as `place`, if asked for."""
     names = [f for f in files.schema.fields if f.name != content]
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in names] + [f"`{c}` string" for c in columns])
+    placed = [place] if place else []
+    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in names] + [f"`{p}` bigint" for p in placed] + [f"`{c}` string" for c in columns])
 
     def run(batches):
         import pandas as pd
@@ -75,8 +76,8 @@ def star_rows(files: DataFrame, columns: list[str], content: str = "content") ->
             for values, text in zip(pdf[rest].itertuples(index=False, name=None), pdf[content]):
                 have, rows = particle_block(text or "")
                 at = [have.index("_" + c) if "_" + c in have else -1 for c in columns]
-                out += [(*values, *(row[i] if i >= 0 else None for i in at)) for row in rows]
-            yield pd.DataFrame(out, columns=[*rest, *columns])
+                out += [(*values, *[k][: len(placed)], *(row[i] if i >= 0 else None for i in at)) for k, row in enumerate(rows)]
+            yield pd.DataFrame(out, columns=[*rest, *placed, *columns])
 
     return files.mapInPandas(run, schema)
 
@@ -104,6 +105,30 @@ def optics(files: DataFrame, content: str = "content") -> DataFrame:
     return files.select("file_id", content).mapInPandas(run, "file_id bigint, image_size bigint")
 
 
+def read_star(spark: SparkSession, path: str) -> DataFrame:
+    """The particle rows of a STAR file, or of a folder of them, with all columns that any of them has as strings, `src_file`, `at`
+    (the number in its file), and size_x, size_y, size_z from the file's optics block (null without one)."""
+    files = spark.read.text(path, wholetext=True, pathGlobFilter="[!._]*").select(F.input_file_name().alias("src_file"), F.col("value").alias("content"))
+
+    def heads(batches):
+        import pandas as pd
+
+        for pdf in batches:
+            out = []
+            for src, text in zip(pdf["src_file"], pdf["content"]):
+                size = [None] * 3
+                for name, columns, rows in blocks(text or ""):
+                    if name.lower() == "optics" and rows and all(f"_rlnImageSize{a}" in columns for a in "XYZ"):
+                        size = [pd.to_numeric(rows[0][columns.index(f"_rlnImageSize{a}")], errors="coerce") for a in "XYZ"]
+                        break
+                out.append((src, [c.removeprefix("_") for c in particle_block(text or "")[0]], *size))
+            yield pd.DataFrame(out, columns=["src_file", "names", "size_x", "size_y", "size_z"])
+
+    found = files.mapInPandas(heads, "src_file string, names array<string>, size_x double, size_y double, size_z double")
+    names = found.select(F.posexplode("names").alias("i", "name")).groupBy("name").agg(F.min("i").alias("i")).orderBy("i", "name").collect()
+    return star_rows(files, [r["name"] for r in names], place="at").join(found.drop("names"), "src_file")
+
+
 def star_text(rows: DataFrame, order: list[str]) -> DataFrame:
     """`line`s of one STAR text per partition: a particle block whose columns are those of `rows`. Values with blanks are quoted."""
     head = "\n".join(["data_particles", "", "loop_", *(f"_{c} #{i + 1}" for i, c in enumerate(rows.columns))])
