@@ -162,6 +162,20 @@ def group_collect(spark: SparkSession, d: str) -> DataFrame:
     return rows.groupBy("tomo").agg(F.count("*").alias("n"), F.min("row_id").alias("first_row"), F.max("row_id").alias("last_row"), F.countDistinct("tag").alias("n_tags"))
 
 
+GROUP_BLOCK = 1000
+
+
+@query(f"""
+WITH r AS (SELECT CAST(round(tomo) AS BIGINT) AS tomo, row_id, row_number() OVER (PARTITION BY CAST(round(tomo) AS BIGINT) ORDER BY row_id) - 1 AS i FROM dynamo_tbl WHERE tomo IS NOT NULL AND NOT isnan(tomo))
+SELECT tomo, i // {GROUP_BLOCK} AS block, list(row_id ORDER BY row_id) AS rows FROM r GROUP BY 1, 2""")
+def group_rows(spark: SparkSession, d: str) -> DataFrame:
+    """The rows of each tomogram in order, as one list per block of at most GROUP_BLOCK rows, so that a tomogram with very many
+    rows is many lists and no task has them all."""
+    rows = table(spark, d, "dynamo_tbl").select(whole("tomo").alias("tomo"), "row_id").where("tomo is not null")
+    blocks = in_order(rows, ["tomo"], ["row_id"]).withColumn("block", F.floor((c("place") - 1) / GROUP_BLOCK).cast("bigint"))
+    return blocks.groupBy("tomo", "block").agg(F.array_sort(F.collect_list("row_id")).alias("rows"))
+
+
 @query("""
 WITH parts AS (SELECT CAST(ref AS BIGINT) AS ref, row_id // 1000 AS chunk, sum(CASE WHEN NOT isnan(cc) THEN CAST(cc AS DECIMAL(20, 8)) END) AS s, count(CASE WHEN NOT isnan(cc) THEN cc END) AS n FROM dynamo_tbl WHERE ref IS NOT NULL GROUP BY 1, 2)
 SELECT ref, round(CAST(sum(s) AS DOUBLE), 6) AS cc_sum, CAST(sum(n) AS BIGINT) AS n, count(*) AS chunks FROM parts GROUP BY 1""")
@@ -393,6 +407,24 @@ def candidate_grid(spark: SparkSession, d: str) -> DataFrame:
     return rings.select("ref", "n_axes", turns.alias("n_turns"), shifts.cast("bigint").alias("n_shifts"), (c("n_axes") * turns * shifts).cast("bigint").alias("n_candidates"))
 
 
+@query("""
+WITH p AS (SELECT DISTINCT CAST(ref AS BIGINT) AS ref, 10.0 + CAST(ref AS BIGINT) % 3 * 5 AS spacing FROM dynamo_tbl WHERE ref IS NOT NULL),
+t AS (SELECT ref, spacing, unnest(range(0, CAST(floor(90 / spacing + 0.5 + 1e-9) AS BIGINT) + 1)) * spacing AS tilt FROM p),
+s AS (SELECT *, degrees(acos(greatest(-1.0, least(1.0, (cos(radians(spacing)) - cos(radians(tilt)) * cos(radians(tilt))) / greatest(sin(radians(tilt)) * sin(radians(tilt)), 1e-8))))) AS step FROM t),
+n AS (SELECT ref, spacing, tilt, CAST(CASE WHEN tilt IN (0, 180) OR NOT step > 0 THEN 1 ELSE floor(360 / step) + 2 END AS BIGINT) AS n FROM s),
+a AS (SELECT ref, spacing, tilt, n, unnest(range(0, n)) AS k FROM n)
+SELECT ref, tilt, k AS axis, round(k * 360.0 / n, 6) + 0.0 AS azimuth, turn, round(turn * spacing, 6) + 0.0 AS inplane
+FROM a, LATERAL (SELECT unnest(range(-CAST(floor(90 / spacing + 0.5 + 1e-9) AS BIGINT), CAST(floor(90 / spacing + 0.5 + 1e-9) AS BIGINT) + 1)) AS turn)""")
+def candidate_angles(spark: SparkSession, d: str) -> DataFrame:
+    """The orientations that the search of each reference tries: every axis of its rings with every turn about it. Each comes with
+    the shifts of shift_candidates."""
+    spacing = F.lit(10.0) + F.pmod("ref", F.lit(3)) * 5
+    last = F.floor(90.0 / spacing + 0.5 + 1e-9)
+    axes = angle_rings(spark, d).select("*", F.explode(F.sequence(F.lit(0).cast("bigint"), c("n_axes") - 1)).alias("axis"))
+    turns = axes.withColumn("turn", F.explode(F.sequence(-last, last)))
+    return turns.select("ref", "tilt", "axis", rounded(c("axis") * 360.0 / c("n_axes")).alias("azimuth"), "turn", rounded(c("turn") * spacing).alias("inplane"))
+
+
 @query("""
 WITH w AS (SELECT user_id, event_id, value, lag(value) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS l, lead(value) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS r FROM events)
 SELECT user_id, event_id, round(CASE WHEN abs(l - 2 * value + r) < 1e-8 THEN 0 ELSE greatest(-1.0, least(1.0, (l - r) / 2 / (l - 2 * value + r))) END, 6) + 0.0 AS top FROM w WHERE value > l AND value > r""")

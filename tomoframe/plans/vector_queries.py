@@ -23,6 +23,7 @@ QUERIES, SQL = R.QUERIES, R.SQL
 query = R.query
 c = F.col
 
+_STAR_COLUMNS = ["tag", "rlnImageName", "rlnMicrographName", "x", "y", "z"]
 _LONG = "(SELECT vec_id, CAST(label AS BIGINT) AS label, generate_subscripts(embedding, 1) - 1 AS pos, unnest(embedding) AS x FROM embeddings)"
 
 
@@ -268,11 +269,20 @@ def classify_volumes(spark: SparkSession, d: str) -> DataFrame:
     return last.rows.drop("data", "nz", "ny", "nx")
 
 
-@query()
+@query(r"""
+WITH parts AS (SELECT file_id, regexp_split_to_array(content, '\r\n|\n|\r') AS l FROM particle_files WHERE content IS NOT NULL),
+lines AS (SELECT file_id, trim(unnest(l), e' \t') AS s, generate_subscripts(l, 1) AS i FROM parts),
+marked AS (SELECT *, sum(CASE WHEN starts_with(lower(s), 'data_') THEN 1 ELSE 0 END) OVER (PARTITION BY file_id ORDER BY i) AS b FROM lines WHERE s <> '' AND NOT starts_with(s, '#')),
+chosen AS (SELECT file_id, coalesce(min(CASE WHEN lower(s) = 'data_particles' THEN b END), min(CASE WHEN lower(s) <> 'data_optics' THEN b END)) AS b FROM marked WHERE starts_with(lower(s), 'data_') GROUP BY 1),
+own AS (SELECT m.* FROM marked m JOIN chosen USING (file_id, b)),
+labels AS (SELECT file_id, regexp_extract(s, '^_(\S+)', 1) AS label, row_number() OVER (PARTITION BY file_id ORDER BY i) AS c FROM own WHERE starts_with(s, '_')),
+heads AS (SELECT file_id, count(*) AS n, map_from_entries(list((label, c))) AS where_ FROM labels GROUP BY 1),
+found AS (SELECT file_id, list_transform(regexp_extract_all(s, '"[^"]*"|''[^'']*''|\S+'), lambda x: regexp_replace(x, '^["''](.*)["'']$', '\1')) AS v FROM own WHERE NOT starts_with(s, '_') AND NOT starts_with(lower(s), 'data_') AND lower(s) <> 'loop_')
+SELECT file_id, """ + ", ".join(f"v[where_['{n}']] AS \"{n}\"" for n in _STAR_COLUMNS) + " FROM found JOIN heads USING (file_id) WHERE len(v) = n")
 def star_scan(spark: SparkSession, d: str) -> DataFrame:
     """The particle rows of every STAR text as it stands."""
     files = table(spark, d, "particle_files").select("file_id", "content")
-    return star_rows(files, ["tag", "rlnImageName", "rlnMicrographName", "x", "y", "z"])
+    return star_rows(files, _STAR_COLUMNS)
 
 
 @query(r"""
