@@ -351,3 +351,16 @@ def test_auto_wedge_side_is_resolved_for_each_row(spark):
     assert auto == {1: both[1], 2: of_particle[2], 3: of_template[3], 4: both[4]}
     assert len({round(x, 6) for x in auto.values()}) == 3
     assert run("AUTO") == auto and {r.cc for r in ops.aligned(rows.drop("fs1", "fs2"), {1: b}, v.Search(0, 30, 0, 30, 1, subpixel=False, wedge_side="auto"), ["tag"]).collect()} == {both[1]}
+
+
+@pytest.mark.parametrize("own", [False, True])
+def test_references_in_blocks(spark, monkeypatch, own):
+    rng = np.random.default_rng(6)
+    references = {k: rng.random((4, 4, 4)).astype(np.float32) for k in (1, 2, 3)} | {4: rng.random((3, 4, 4)).astype(np.float32)}
+    boxes = [references[2], references[3] + references[1], references[4], references[1]]
+    rows = [(i % 4, k, *b.shape, b.astype("<f4").tobytes()) for i, (b, k) in enumerate(zip([*boxes, boxes[0]], [3, None, 9, 2, 1]))] + [(8, 1, 4, 4, 4, b"cut")]
+    df = spark.createDataFrame(rows, "tag int, ref int, nz int, ny int, nx int, data binary")
+    run = lambda: sorted(map(tuple, ops.aligned(df, references, v.Search(0, 30, 0, 30, 1, subpixel=False), ["tag"], own_reference=own).collect()), key=str)
+    want = run()
+    monkeypatch.setattr(ops, "BLOCK_BYTES", 300)
+    assert run() == want and len(want) == 6 and sum(r[-1] is None for r in want) >= 4

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import replace
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -13,11 +14,13 @@ from pyspark.sql import functions as F
 from tomoframe.functions import volume as v
 from tomoframe.functions.columns import number
 from tomoframe.functions.geometry import wedge_side
+from tomoframe.session import written
 
-#: References and masks are broadcast; together they may have so many bytes.
-MOST_REFERENCE_BYTES = 1 << 30
+#: References are broadcast in blocks of at most so many bytes, or of one.
+BLOCK_BYTES = 1 << 28
 #: Groups of partial sums, so that the sums of one large group are not all added up by one task.
 SALTS = 32
+_ROW = "row_of_particle"
 
 
 def usable(volumes: DataFrame) -> DataFrame:
@@ -93,10 +96,39 @@ def aligned(rows: DataFrame, references: dict[int, np.ndarray], search: v.Search
     one tried; optionally tdrot, tilt, narot as seeds and ftype, ymintilt, ymaxtilt, xmintilt, xmaxtilt as wedge. A wedge side of
     'auto' is resolved for each row by its fs1 and fs2; without these it is both.
     Returns `keep`, ref (the lowest of equal ones), the pose, cc, nz, ny, nx, data, and `error` where a volume can't be
-    used; then the rest is null. References of another shape than the volume are passed over.
+    used; then the rest is null. References of another shape than the volume are passed over. Many or large references are tried
+    in blocks, one after the other.
     """
-    if sum(r.nbytes for r in references.values()) > MOST_REFERENCE_BYTES:
-        raise ValueError("too many or too large references to broadcast")
+    blocks = _blocks(references)
+    if len(blocks) <= 1:
+        return _aligned(rows, references, search, keep, own_reference, mask)
+    rows = written(rows.withColumn(_ROW, F.monotonically_increasing_id()), "particles")
+    if own_reference:
+        first, last = min(references), max(references)
+        own = F.least(F.greatest(F.coalesce(number("ref"), F.lit(float(first))).cast("bigint"), F.lit(first)), F.lit(last))
+        parts = [_aligned(rows.where(own.isin(list(b))), b, search, [*keep, _ROW], True, mask) for b in blocks]
+        return reduce(DataFrame.unionByName, parts).drop(_ROW)
+    # Each block of references gives its best one; of these the best, of equal ones the lowest.
+    all_parts = reduce(DataFrame.unionByName, [_aligned(rows, b, search, [*keep, _ROW], False, mask) for b in blocks])
+    names = [c for c in all_parts.columns if c != _ROW]
+    best = F.max_by(F.struct(*names), F.struct(F.col("error").isNull(), "cc", -F.col("ref")))
+    return all_parts.groupBy(_ROW).agg(best.alias("b")).select("b.*")
+
+
+def _blocks(references: dict[int, np.ndarray]) -> list[dict[int, np.ndarray]]:
+    out: list[dict[int, np.ndarray]] = []
+    size = 0
+    for r in sorted(references):
+        if not out or size + references[r].nbytes > BLOCK_BYTES:
+            out.append({})
+            size = 0
+        out[-1][r] = references[r]
+        size += references[r].nbytes
+    return out
+
+
+def _aligned(rows: DataFrame, references: dict[int, np.ndarray], search: v.Search, keep: list[str], own_reference: bool, mask: np.ndarray | None) -> DataFrame:
+    """As `aligned`, with references that are broadcast together."""
     shared = rows.sparkSession.sparkContext.broadcast((references, mask))
     have = set(rows.columns)
     seeds = [c for c in ("tdrot", "tilt", "narot") if c in have]
