@@ -17,6 +17,7 @@ import unicodedata
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 import numpy as np
@@ -54,6 +55,7 @@ _WORDS = regex.compile(r"[\p{Hiragana}\p{Katakana}\p{Han}ー]{1,6}|[^\W\d_]+(?:[
 _DIGITS = regex.compile(r"\d+")
 _MARKS = regex.compile(r"\p{Mn}+")
 _CAN_FOLD = regex.compile(r"[^\x00-\x7f]")
+_KANA = regex.compile(r"[\u3040-\u30ff]")
 
 
 def declared(lang: Column) -> Column:
@@ -68,7 +70,7 @@ def folded(text: str) -> str:
     text = text.lower()
     if _CAN_FOLD.search(text):
         kept = text.replace("й", "\ue000").replace("ё", "е")
-        text = _MARKS.sub("", unicodedata.normalize("NFD", kept)).replace("\ue000", "й") if not regex.search(r"[\u3040-\u30ff]", kept) else kept
+        text = _MARKS.sub("", unicodedata.normalize("NFD", kept)).replace("\ue000", "й") if not _KANA.search(kept) else kept
         text = text.translate(_FOLD)
     return text
 
@@ -248,10 +250,13 @@ def train(labelled: list[tuple[str, str]], seed: int = 1) -> Model:
     half = np.arange(len(y)) % 2
     features = _features(texts)
     # Each half is judged by a model of the other half. A contradicted label is left out, or replaced where that model is sure.
-    p = np.zeros((len(y), len(CLASSES)))
-    for h in (0, 1):
+    def judged(h: int) -> np.ndarray:
         e, w = _descend([features[i] for i in np.flatnonzero(half != h)], y[half != h], seed, 0.5)
-        p[half == h] = softmax(_scores([features[i] for i in np.flatnonzero(half == h)], e @ w) * 4)
+        return softmax(_scores([features[i] for i in np.flatnonzero(half == h)], e @ w) * 4)
+
+    p = np.zeros((len(y), len(CLASSES)))
+    with ThreadPoolExecutor(2) as both:
+        p[half == 0], p[half == 1] = both.map(judged, (0, 1))
     guess, sure = p.argmax(1), p.max(1)
     kept = np.flatnonzero((guess == y) | (sure > 0.9))
     e, w = _descend([features[i] for i in kept], guess[kept], seed + 1)
