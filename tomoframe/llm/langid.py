@@ -4,7 +4,8 @@ A sentence is the mean of the hashed embeddings of its words and their parts, an
 language. The model is trained by stochastic gradient descent in numpy on a bounded sample of labelled documents. Labels
 are partly wrong: first two models are trained on a half of the sentences each and judge the labels of the other half.
 Confidence is calibrated on held-out sentences against the labels as they stand: the temperature of the softmax and the share of wrong labels are what makes these labels most likely.
-Sentences that differ in digits, case or accents only count once, so that none is in training and held out. Below the lowest
+Sentences that differ in digits, case or accents only count once, so that none is held out and trained on. The model that is used is then
+trained on the held-out sentences too. Below the lowest
 confidence at which all that is above it is expected to be right in PRECISION of the cases, a sentence has no language.
 
 Training runs on the driver over at most SAMPLE documents per language; everything else runs over all documents, each
@@ -45,6 +46,8 @@ BUCKETS, DIMENSION, RATE, BATCH = 1 << 16, 16, 1.2, 64
 EPOCHS, SHOWN = 5, 25_000
 #: Share of the sentences that are held out, and how many of them per language are used at most.
 HELD, HELD_SENTENCES = 0.2, 600
+#: A label that a sentence has so many times more often than any other is not doubted.
+CERTAIN = 4
 #: Expected share of right ones among sentences with at least the threshold's confidence.
 PRECISION = 0.998
 NONE = "und"
@@ -205,7 +208,7 @@ def calibrated(raw: np.ndarray, truth: np.ndarray) -> tuple[float, float]:
         p = softmax(raw / t)[rows, truth]
         return float(-np.log((1 - wrong) * p + wrong * (1 - p) / (raw.shape[1] - 1) + 1e-12).sum())
 
-    return min(((t / 20, w / 200) for t in range(1, 61) for w in range(0, 61)), key=lambda x: loss(*x))
+    return min(((t / 20, w / 200) for t in range(4, 61) for w in range(0, 61)), key=lambda x: loss(*x))
 
 
 def threshold_of(sure: np.ndarray, precision: float) -> float:
@@ -215,57 +218,65 @@ def threshold_of(sure: np.ndarray, precision: float) -> float:
     return float(order[np.flatnonzero(good)[-1]]) if good.any() else 1.1
 
 
-def distinct(labelled: list[tuple[str, str]]) -> dict[str, list[str]]:
-    """The sentences of each language, those that differ in digits, case or accents only once. One that stands under several
-    labels has the one that is at least twice as frequent as the next; without such a one it says nothing and is left out."""
+def distinct(labelled: list[tuple[str, str]]) -> dict[str, list[tuple[str, int]]]:
+    """The sentences of each language, those that differ in digits, case or accents only once, and by how many labels each has
+    that language rather than the next. One that stands under several labels has the one that is at least twice as frequent
+    as the next; without such a one it says nothing and is left out."""
     labels: dict[str, Counter] = {}
     first: dict[str, str] = {}
     for text, lang in labelled:
         form = _DIGITS.sub("0", " ".join(folded(text).split()))
         labels.setdefault(form, Counter())[lang] += 1
         first.setdefault(form, text)
-    by: dict[str, list[str]] = {c: [] for c in LANGUAGES}
+    by: dict[str, list[tuple[str, int]]] = {c: [] for c in LANGUAGES}
     for form, counts in labels.items():
         (lang, n), *others = counts.most_common(2)
-        if not others or n >= 2 * others[0][1]:
-            by[lang].append(first[form])
+        next_n = others[0][1] if others else 0
+        if n >= 2 * next_n:
+            by[lang].append((first[form], n - next_n))
     return by
 
 
 def train(labelled: list[tuple[str, str]], seed: int = 1) -> Model:
     """A model of (sentence, language) pairs of which part may be wrong."""
     rng = np.random.default_rng(seed)
-    by = distinct(labelled)
-    texts, y, held, truth = [], [], [], []
-    for c, own in by.items():
-        own = [own[i] for i in rng.permutation(len(own))]
+    texts, support, y, held = [], [], [], []
+    for c, own in distinct(labelled).items():
         n_held = min(HELD_SENTENCES, int(len(own) * HELD))
-        held += own[:n_held]
-        truth += [CLASSES.index(c)] * n_held
-        texts += own[n_held : n_held + SENTENCES]
-        y += [CLASSES.index(c)] * len(own[n_held : n_held + SENTENCES])
-    noise = _noise(rng, SENTENCES // 3)
-    texts += noise
-    y = np.array(y + [len(LANGUAGES)] * len(noise))
-    half = np.arange(len(y)) % 2
+        own = [own[i] for i in rng.permutation(len(own))[: n_held + SENTENCES]]
+        texts += [t for t, _ in own]
+        support += [n for _, n in own]
+        y += [CLASSES.index(c)] * len(own)
+        held += [i < n_held for i in range(len(own))]
+    n_noise = SENTENCES // 3
+    texts += _noise(rng, n_noise)
+    y = np.array(y + [len(LANGUAGES)] * n_noise)
+    certain = np.array(support + [CERTAIN] * n_noise) >= CERTAIN
+    held = np.array(held + [i < HELD * n_noise for i in range(n_noise)])
+    half = rng.permutation(len(y)) % 2
     features = _features(texts)
-    # Each half is judged by a model of the other half. A contradicted label is left out, or replaced where that model is sure.
-    def judged(h: int) -> np.ndarray:
-        e, w = _descend([features[i] for i in np.flatnonzero(half != h)], y[half != h], seed, 0.5)
-        return softmax(_scores([features[i] for i in np.flatnonzero(half == h)], e @ w) * 4)
 
-    p = np.zeros((len(y), len(CLASSES)))
+    def fitted_on(rows: np.ndarray, labels: np.ndarray, seed: int, part: float = 1.0) -> np.ndarray:
+        e, w = _descend([features[i] for i in rows], labels[rows], seed, part)
+        return (e @ w).astype(np.float32)
+
+    def scores(logits: np.ndarray, rows: np.ndarray) -> np.ndarray:
+        return _scores([features[i] for i in rows], logits)
+
     with ThreadPoolExecutor(2) as both:
-        p[half == 0], p[half == 1] = both.map(judged, (0, 1))
-    guess, sure = p.argmax(1), p.max(1)
-    kept = np.flatnonzero((guess == y) | (sure > 0.9))
-    e, w = _descend([features[i] for i in kept], guess[kept], seed + 1)
-    logits = (e @ w).astype(np.float32)
-    if not held:
+        # Each half is judged by a model of the other half. A contradicted label is left out, or replaced where that model is sure,
+        # unless the sentence has it very often.
+        parts = [np.flatnonzero(half == h) for h in (0, 1)]
+        p = np.zeros((len(y), len(CLASSES)))
+        for h, logits in enumerate(both.map(lambda h: fitted_on(parts[1 - h], y, seed, 0.5), (0, 1))):
+            p[parts[h]] = softmax(scores(logits, parts[h]) * 4)
+        guess, sure = np.where(certain, y, p.argmax(1)), p.max(1)
+        kept = (guess == y) | (sure > 0.9)
+        # One model without the held-out sentences is calibrated on them; the one that is used has them as well.
+        without, logits = both.map(lambda rows: fitted_on(rows, guess, seed + 1), (np.flatnonzero(kept & ~held), np.flatnonzero(kept)))
+    if not held.any():
         return Model(logits, 1.0, 0.5, 0.0, 0.0)
-    unread = _noise(rng, len(held) // 12 + 1)
-    raw = _scores(_features(held + unread), logits)
-    truth = np.array(truth + [len(LANGUAGES)] * len(unread))
+    raw, truth = scores(without, np.flatnonzero(held)), y[held]
     temperature, wrong = calibrated(raw, truth)
     p = softmax(raw / temperature)
     named = p.argmax(1) < len(LANGUAGES)
